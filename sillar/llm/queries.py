@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sillar.llm import conversations, pair_defects, residue, splitting
+from sillar.llm import conversations, nearest, pair_defects, residue, splitting
 from sillar.sources.tables import table
 
 
@@ -18,6 +18,14 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_oversized(table(spark, folder, "chunks"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest.similar_pairs(table(spark, folder, "page_vectors"))
+
+
+def p2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest.nearest_pages(table(spark, folder, "page_vectors"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.dropped_chats(table(spark, folder, "messages"), table(spark, folder, "chats"))
 
@@ -47,7 +55,7 @@ def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [p1_found, p1_pieces, p3_found, p3_conversations, p3_sessions, p4_found, p4_pairs, p8_found, p8_clean]
+    names = [p1_found, p1_pieces, p2_found, p2_neighbours, p3_found, p3_conversations, p3_sessions, p4_found, p4_pairs, p8_found, p8_clean]
     return {f.__name__: f for f in names}
 
 
@@ -81,6 +89,17 @@ def oracle_sql() -> dict[str, str]:
               SELECT chunk_id, length(regexp_replace(text, '^[{_WS}]+|[{_WS}]+$', '', 'g')) AS n,
                      list_max(list_transform(regexp_extract_all(text, '[^{_WS}]+'), lambda x: length(x))) AS longest
               FROM chunks) WHERE n > 1500 GROUP BY chunk_id""",
+        "p2_found": """
+            WITH live AS (
+              SELECT page_id, vec::DOUBLE[] AS v FROM (
+                SELECT page_id, vec FROM page_vectors WHERE page_id IS NOT NULL
+                QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY vec_id DESC) = 1)
+              WHERE len(vec) = 384 AND list_max(list_transform(vec, lambda x: abs(x::INTEGER))) > 0),
+            near AS (
+              SELECT a.page_id AS a, b.page_id AS b, list_cosine_similarity(a.v, b.v) AS s
+              FROM live a JOIN live b ON a.page_id <> b.page_id
+              QUALIFY row_number() OVER (PARTITION BY a.page_id ORDER BY s DESC, b.page_id) <= 10)
+            SELECT DISTINCT least(a, b) AS page_a, greatest(a, b) AS page_b FROM near WHERE s >= 0.8""",
         "p3_found": _TURNS
         + """SELECT chat_id FROM (SELECT chat_id FROM messages UNION SELECT chat_id FROM chats)
              WHERE chat_id IS NOT NULL AND chat_id NOT IN (SELECT chat_id FROM kept)""",
