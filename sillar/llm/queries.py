@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sillar.llm import conversations, nearest, pair_defects, residue, splitting
+from sillar.llm import conversations, mixing, nearest, packing, pair_defects, residue, splitting
 from sillar.sources.tables import table
 
 
@@ -46,6 +46,22 @@ def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return pair_defects.judged_pairs(table(spark, folder, "messages"))
 
 
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
+
+
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packing_report(packing.pack(table(spark, folder, "documents")))
+
+
+def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return residue.documents_with_residue(table(spark, folder, "documents"))
 
@@ -55,7 +71,7 @@ def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [p1_found, p1_pieces, p2_found, p2_neighbours, p3_found, p3_conversations, p3_sessions, p4_found, p4_pairs, p8_found, p8_clean]
+    names = [p1_found, p1_pieces, p2_found, p2_neighbours, p3_found, p3_conversations, p3_sessions, p4_found, p4_pairs, p6_containers, p6_report, p7_mixture, p7_report, p8_found, p8_clean]
     return {f.__name__: f for f in names}
 
 
