@@ -47,7 +47,7 @@ def fold(text: Column) -> Column:
     Letters that decompose into several (Hangul, fractions) are kept as they are, but for
     the ligatures listed above.
     """
-    out = F.translate(F.lower(text), F.lit(fold_table()[0]), F.lit(fold_table()[1]))
+    out = F.translate(F.lower(text), *fold_table())
     return F.when(out.rlike("[" + "".join(LIGATURES) + "]"), _unligate(out)).otherwise(out)
 
 

@@ -1,20 +1,99 @@
-"""The named queries of the core and their SQL."""
+"""The named queries of the core and their SQL.
+
+Searches take as queries every page whose id is divisible by 100, with its title as text, against
+all chunks and vectors.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from sillar.operators.snapshot_delta import page_deltas
-from sillar.sources.tables import table
+from sillar.functions import text as T
+from sillar.operators import chats as C
+from sillar.operators import chunking, corpus, evaluate, feed, images, search, vectors
+from sillar.operators.snapshot_delta import hash_value, page_deltas, tidy_title
+from sillar.plans import sqltext as S
+from sillar.session import shared_folder
+from sillar.sources import wiki
+from sillar.sources.archive import articles
+from sillar.sources.html import html_to_text
+from sillar.sources.tables import stream_of, table
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
 
-def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return page_deltas(table(spark, folder, "pages"))
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL if it has any."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+# ------------------------------------------------------------------ shared inputs
+
+
+def search_queries(chunks: DataFrame) -> DataFrame:
+    """``(qid, query)``."""
+    return chunks.filter((F.col("page_id") % 100 == 0) & F.col("title").isNotNull()).groupBy(F.col("page_id").alias("qid")).agg(F.min("title").alias("query"))
+
+
+SEARCH_QUERIES = "queries AS (SELECT page_id AS qid, min(title) AS query FROM chunks WHERE page_id % 100 = 0 AND title IS NOT NULL GROUP BY page_id)"
+
+
+def current_pages(pages: DataFrame) -> DataFrame:
+    """One row per title: the newest of all deliveries."""
+    rows = pages.withColumn("title", tidy_title(F.col("title"))).withColumn("hash", hash_value(F.col("hash")))
+    rank = F.struct("gen", "snapshot_ts", "revid", "page_id", "hash", "size")
+    newest = rows.groupBy("title").agg(F.max(rank).alias("r"))
+    return newest.select("title", *(F.col(f"r.{c}").alias(c) for c in ("page_id", "revid", "snapshot_ts", "size", "hash", "gen")), T.title_key(F.col("title")).alias("title_key"))
+
+
+CLEAN_PAGES = r"""
+clean AS (
+  SELECT page_id, revid, snapshot_ts, size, gen, trim(regexp_replace(title, '[\s_]+', ' ', 'g')) AS title,
+         nullif(lower(regexp_replace(hash, '^\s*(0[xX]|[A-Za-z][A-Za-z0-9_-]*\s*:)|\s+', '', 'g')), '') AS hash
+  FROM pages WHERE title IS NOT NULL)"""
+_NEWEST = "gen DESC NULLS LAST, snapshot_ts DESC NULLS LAST, revid DESC NULLS LAST, page_id DESC NULLS LAST, hash DESC NULLS LAST, size DESC NULLS LAST"
+CURRENT_PAGES = f"{CLEAN_PAGES}, current AS (SELECT * FROM clean QUALIFY row_number() OVER (PARTITION BY title ORDER BY {_NEWEST}) = 1)"
 
 
-P5_SQL = r"""
+def _last_import(pages: DataFrame) -> tuple[DataFrame, DataFrame, int, object]:
+    """``(state before the last delivery, last delivery, its number, its date)``."""
+    facts = pages.agg(F.max("gen").alias("g")).first()
+    gen = facts["g"] or 0
+    date = pages.filter(F.col("gen") == gen).agg(F.max("snapshot_ts").alias("t")).first()["t"]
+    before = current_pages(pages.filter(F.col("gen").isNull() | (F.col("gen") < gen)))
+    return before, current_pages(pages.filter(F.col("gen") == gen)), gen, date
+
+
+LAST_IMPORT = f"""{CLEAN_PAGES},
+g AS (SELECT max(gen) AS gen FROM pages),
+d AS (SELECT max(snapshot_ts) AS ts FROM pages, g WHERE pages.gen = g.gen),
+a AS (SELECT * FROM clean WHERE gen IS NULL OR gen < (SELECT gen FROM g) QUALIFY row_number() OVER (PARTITION BY title ORDER BY {_NEWEST}) = 1),
+b AS (SELECT * FROM clean WHERE gen = (SELECT gen FROM g) QUALIFY row_number() OVER (PARTITION BY title ORDER BY {_NEWEST}) = 1)"""
+
+# ------------------------------------------------------------------ snapshots
+
+
+@query(r"""
 WITH clean AS (
   SELECT gen, trim(regexp_replace(title, '[\s_]+', ' ', 'g')) AS title, snapshot_ts,
          nullif(lower(regexp_replace(hash, '^\s*(0[xX]|[A-Za-z][A-Za-z0-9_-]*\s*:)|\s+', '', 'g')), '') AS value
@@ -30,12 +109,544 @@ FROM (SELECT coalesce(new.gen, old.gen) AS gen, coalesce(new.title, old.title) A
              old.title AS was, new.title AS now, old.value AS v0, new.value AS v1
       FROM new FULL JOIN old ON new.gen = old.gen AND new.title = old.title)
 WHERE was IS NULL OR now IS NULL OR v0 <> v1
-"""
+""")
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return page_deltas(table(spark, folder, "pages"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": p5_found}
+_MERGE = f"""WITH {LAST_IMPORT},
+m AS (
+  SELECT coalesce(a.title, b.title) AS title, a.page_id, a.snapshot_ts AS old_ts, a.gen AS old_gen, a.hash AS h0, b.hash AS h1, d.ts, g.gen AS new_gen,
+         CASE WHEN a.title IS NULL THEN 'nuevo' WHEN b.title IS NULL THEN 'borrado' WHEN coalesce(a.snapshot_ts, TIMESTAMPTZ '1970-01-01 00:00:00+00') > d.ts THEN 'local más reciente'
+              WHEN a.hash = b.hash THEN 'igual' ELSE 'cambiado' END AS action
+  FROM a FULL JOIN b ON a.title = b.title CROSS JOIN d CROSS JOIN g
+  WHERE b.title IS NOT NULL OR coalesce(a.snapshot_ts, TIMESTAMPTZ '1970-01-01 00:00:00+00') <= d.ts)"""
 
 
-def oracle_sql() -> dict[str, str]:
-    return {"p5_found": P5_SQL}
+@query(
+    _MERGE
+    + """ SELECT title, page_id, action, CASE WHEN action IN ('local más reciente', 'borrado') THEN old_ts ELSE ts END AS snapshot_ts,
+          CASE WHEN action = 'borrado' THEN old_gen ELSE new_gen END AS gen,
+          CASE WHEN action = 'local más reciente' THEN h0 ELSE coalesce(h1, h0) END AS hash FROM m"""
+)
+def snapshot_merge_actions(spark: SparkSession, folder: str) -> DataFrame:
+    before, last, gen, date = _last_import(table(spark, folder, "pages"))
+    return corpus.merge_actions(before, last, F.lit(date).cast("timestamp"), gen)
+
+
+@query(_MERGE + " SELECT action, count(*) AS n FROM m GROUP BY action")
+def snapshot_merge_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus.tally(snapshot_merge_actions(spark, folder))
+
+
+@query(f"""WITH {LAST_IMPORT}
+SELECT title, hash, gen FROM b UNION ALL SELECT title, hash, gen FROM a WHERE title NOT IN (SELECT title FROM b)""")
+def upsert_result(spark: SparkSession, folder: str) -> DataFrame:
+    before, last, _, _ = _last_import(table(spark, folder, "pages"))
+    return corpus.upsert(before.select("title", "hash", "gen"), last.select("title", "hash", "gen"), "title")
+
+
+@query(f"""WITH {LAST_IMPORT}, gone AS (SELECT page_id FROM a WHERE title NOT IN (SELECT title FROM b))
+SELECT chunk_id, page_id FROM chunks WHERE page_id IS NULL OR page_id NOT IN (SELECT page_id FROM gone WHERE page_id IS NOT NULL)""")
+def delete_cascade(spark: SparkSession, folder: str) -> DataFrame:
+    before, last, _, _ = _last_import(table(spark, folder, "pages"))
+    gone = corpus.delete_keys(before, last, "title").select("page_id")
+    return corpus.delete_cascade(gone, "page_id", chunks=table(spark, folder, "chunks").select("chunk_id", "page_id"))["chunks"]
+
+
+@query("""WITH g AS (SELECT max(gen) AS gen FROM redirects)
+SELECT title_key, target_title AS target, redirects.gen FROM redirects, g WHERE redirects.gen = g.gen""")
+def redirect_refresh(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "redirects").withColumnRenamed("target_title", "target")
+    gen = rows.agg(F.max("gen").alias("g")).first()["g"] or 0
+    return corpus.refresh_redirects(rows.filter(F.col("gen").isNull() | (F.col("gen") < gen)), rows.filter(F.col("gen") == gen).drop("gen"), gen)
+
+
+@query("""SELECT p.page_id, p.gen, p.title, coalesce(p.size, s.chars, 0)::INTEGER AS size FROM pages p
+LEFT JOIN (SELECT page_id, sum(length(text)) AS chars FROM chunks WHERE page_id IS NOT NULL GROUP BY page_id) s USING (page_id)""")
+def page_size_backfill(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus.fill_sizes(table(spark, folder, "pages"), table(spark, folder, "chunks")).select("page_id", "gen", "title", "size")
+
+
+@query(f"""WITH {CURRENT_PAGES},
+first AS (SELECT page_id, text FROM chunks WHERE page_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY chunk_id, text NULLS FIRST) = 1)
+SELECT c.page_id, c.size, 'title: ' || coalesce(c.title, '') || ' | text: ' || substring(coalesce(nullif(f.text, ''), coalesce(c.title, '')), 1, 400) AS input
+FROM current c LEFT JOIN first f USING (page_id)
+WHERE c.page_id NOT IN (SELECT page_id FROM page_vectors WHERE page_id IS NOT NULL)""")
+def embedding_queue(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.embedding_queue(current_pages(table(spark, folder, "pages")), table(spark, folder, "page_vectors"), table(spark, folder, "chunks"))
+
+
+@query(f"""WITH {CURRENT_PAGES}
+SELECT (SELECT count(*) FROM current) AS pages, (SELECT coalesce(max(chunk_id), 0) FROM chunks) AS chunks_approx, (SELECT count(*) FROM page_vectors) AS embedded_pages,
+       (SELECT coalesce(max(message_id), 0) FROM messages) AS images, (SELECT count(*) FROM redirects) AS redirects,
+       'today' AS last_sync, NULL::VARCHAR AS zim_source, NULL::VARCHAR AS zim_date, true AS catchup_pending""")
+def corpus_stats(spark: SparkSession, folder: str) -> DataFrame:
+    meta = spark.createDataFrame([("last_sync", "today"), ("check_after", "")], "key string, value string")
+    numbered = table(spark, folder, "messages").select(F.col("message_id").alias("image_id"))
+    return corpus.stats(current_pages(table(spark, folder, "pages")), table(spark, folder, "chunks"), table(spark, folder, "page_vectors"), table(spark, folder, "redirects"), numbered, meta)
+
+
+# ------------------------------------------------------------------ text
+
+
+@query(f"SELECT doc_id, {S.title_key('title')} AS title_key, {S.base_key('title')} AS base_key, len(list_distinct({S.raw_keywords('text')}))::INTEGER AS words FROM documents")
+def keyword_extract(spark: SparkSession, folder: str) -> DataFrame:
+    d = table(spark, folder, "documents")
+    return d.select("doc_id", T.title_key(F.col("title")).alias("title_key"), T.title_base_key(F.col("title")).alias("base_key"), F.size(T.keywords(F.col("text"))).alias("words"))
+
+
+_TERMS = f"""
+raw AS (SELECT DISTINCT chat_id, title FROM chats WHERE chat_id IS NOT NULL),
+tok AS (SELECT chat_id, title, unnest(regexp_extract_all(coalesce(title, ''), '[\\p{{L}}\\p{{N}}_]+')) AS w, generate_subscripts(regexp_extract_all(coalesce(title, ''), '[\\p{{L}}\\p{{N}}_]+'), 1) AS i FROM raw),
+kept AS (SELECT chat_id, title, i, {S.fold('w')} AS term, i > 1 AND regexp_matches(w, '^\\p{{Lu}}') AS capital FROM tok WHERE length({S.fold('w')}) > 1 AND NOT list_contains({S._STOP}, {S.fold('w')})),
+uniq AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY chat_id, title, term ORDER BY i) = 1),
+terms AS (SELECT chat_id, title, (row_number() OVER (PARTITION BY chat_id, title ORDER BY i) - 1)::INTEGER AS ord, term, capital FROM uniq)"""
+
+
+def _chat_titles(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "chats").filter("chat_id is not null").select("chat_id", "title").distinct()
+
+
+@query(f"WITH {_TERMS} SELECT chat_id, title, ord, term, capital FROM terms")
+def query_terms(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _chat_titles(spark, folder).select("chat_id", "title", F.posexplode(T.query_terms(F.col("title"))).alias("ord", "t"))
+    return rows.select("chat_id", "title", "ord", F.col("t.term").alias("term"), F.col("t.capital").alias("capital"))
+
+
+@query(f"""WITH {_TERMS}, l AS (SELECT chat_id, title, list(term ORDER BY ord) AS t, list(capital ORDER BY ord) AS c FROM terms GROUP BY chat_id, title),
+s AS (SELECT *, unnest(range(1, 5)) AS size FROM l), p AS (SELECT *, unnest(range(0, greatest(0, len(t) - size + 1))) AS start FROM s)
+SELECT chat_id, title, array_to_string(t[start + 1:start + size], ' ') AS gram, start::INTEGER AS start, size::INTEGER AS size FROM p WHERE size = len(t) OR c[start + 1]""")
+def query_ngrams(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _chat_titles(spark, folder).select("chat_id", "title", F.explode(T.title_grams(T.query_terms(F.col("title")))).alias("g"))
+    return rows.select("chat_id", "title", F.col("g.gram").alias("gram"), F.col("g.start").alias("start"), F.col("g.size").alias("size"))
+
+
+_SKIP = ", ".join(f"'{s}'" for s in chunking.SKIPPED_SECTIONS)
+
+
+@query(rf"""WITH line AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+mark AS (SELECT doc_id, i, raw, rtrim(raw, ' ' || chr(9) || chr(13)) AS r, least(length(regexp_extract(raw, '^=+')), length(regexp_extract(raw, '(=+)\s*$', 1)), 6) AS n FROM line),
+head AS (SELECT doc_id, i, raw, CASE WHEN n >= 2 AND length(r) > 2 * n THEN nullif(trim(substring(r, n + 1, length(r) - 2 * n)), '') END AS h FROM mark),
+sect AS (SELECT doc_id, i, h, regexp_replace(raw, '^[\s\x{{a0}}\x{{2000}}-\x{{200a}}\x{{3000}}\x{{202f}}]+|[\s\x{{a0}}\x{{2000}}-\x{{200a}}\x{{3000}}\x{{202f}}]+$', '', 'g') AS para, count(h) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM head),
+named AS (SELECT *, coalesce(max(h) OVER (PARTITION BY doc_id, s), 'Introducción') AS section FROM sect),
+packed AS (SELECT doc_id, s, section, list_reduce(list({{'buf': para, 'out': []::VARCHAR[]}} ORDER BY i), lambda a, x: CASE WHEN length(a.buf) + length(x.buf) > 1500
+             THEN {{'buf': x.buf, 'out': list_append(a.out, a.buf)}} ELSE {{'buf': a.buf || chr(10) || x.buf, 'out': a.out}} END) AS p
+           FROM named WHERE h IS NULL AND para <> '' AND lower(trim(section)) NOT IN ({_SKIP}) GROUP BY ALL),
+pieces AS (SELECT doc_id, s, section, unnest(list_append(p.out, p.buf)) AS text, generate_subscripts(list_append(p.out, p.buf), 1) AS k FROM packed)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY s, k) - 1)::INTEGER AS ord, section, text FROM pieces""")
+def chunk_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return chunking.chunk_documents(table(spark, folder, "documents"))
+
+
+@query("SELECT sha256(text) AS hash, count(*) AS copies, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+def content_hash_dups(spark: SparkSession, folder: str) -> DataFrame:
+    d = table(spark, folder, "documents").filter("text is not null")
+    return d.groupBy(T.content_hash(F.col("text")).alias("hash")).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id")).filter("copies > 1")
+
+
+def _as_html(text, title):
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    body = F.concat(F.lit("<p>"), F.array_join(F.split(safe(F.coalesce(text, F.lit(""))), "\n"), "</p><p>"), F.lit("</p>"))
+    return F.concat(F.lit("<html><body><h1>"), safe(F.coalesce(title, F.lit(""))), F.lit('</h1><div class="navbox">x</div>'), body, F.lit("</body></html>"))
+
+
+_LINES = r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+c AS (SELECT doc_id, i, trim(regexp_replace(raw, '[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')) AS line FROM l),
+t AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE trim(line, ' |') <> ''), '') AS text FROM c GROUP BY doc_id)"""
+
+
+@query(_LINES + " SELECT doc_id, text FROM t")
+def html_text(spark: SparkSession, folder: str) -> DataFrame:
+    d = table(spark, folder, "documents").select("doc_id", _as_html(F.col("text"), F.col("title")).alias("html"))
+    return html_to_text(d, "doc_id").select("doc_id", "text")
+
+
+@query(_LINES + " SELECT doc_id::VARCHAR AS title, sha256(text) AS hash FROM t WHERE length(text) >= 200")
+def archive_articles(spark: SparkSession, folder: str) -> DataFrame:
+    d = table(spark, folder, "documents")
+    entries = d.select(F.lit("a").alias("path"), F.col("doc_id").cast("string").alias("title"), F.lit("text/html").alias("mime"), _as_html(F.col("text"), F.col("title")).alias("html"), F.lit(None).cast("string").alias("target"))
+    return articles(entries).select("title", "hash")
+
+
+# ------------------------------------------------------------------ search
+
+_BM25 = f"""{SEARCH_QUERIES},
+terms AS (SELECT qid, unnest({S.keywords('query')}) AS term, len({S.keywords('query')}) AS n_terms FROM queries),
+corpus AS (SELECT DISTINCT chunk_id, page_id, title, section, text FROM chunks),
+tok AS (SELECT chunk_id, unnest(regexp_extract_all({S.fold("coalesce(title, '')")}, '[\\p{{L}}\\p{{N}}]+')) AS word, 8.0 AS w FROM corpus
+  UNION ALL SELECT chunk_id, unnest(regexp_extract_all({S.fold("coalesce(section, '')")}, '[\\p{{L}}\\p{{N}}]+')), 3.0 FROM corpus
+  UNION ALL SELECT chunk_id, unnest(regexp_extract_all({S.fold("coalesce(text, '')")}, '[\\p{{L}}\\p{{N}}]+')), 1.0 FROM corpus),
+sizes AS (SELECT c.chunk_id, c.page_id, count(word) AS dl FROM corpus c LEFT JOIN tok USING (chunk_id) GROUP BY ALL),
+whole AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM sizes),
+vocabulary AS (SELECT DISTINCT word FROM tok), wanted AS (SELECT DISTINCT term FROM terms),
+spread AS (SELECT term, word FROM wanted JOIN vocabulary ON CASE WHEN length(term) > 4 THEN starts_with(word, term) ELSE word = term END),
+hits AS (SELECT term, chunk_id, sum(w) AS f FROM tok JOIN spread USING (word) GROUP BY term, chunk_id),
+df AS (SELECT term, CASE WHEN ln((n - count(*) + 0.5) / (count(*) + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - count(*) + 0.5) / (count(*) + 0.5)) END AS idf FROM hits, whole GROUP BY term, n),
+scored AS (SELECT qid, h.chunk_id, any_value(s.page_id) AS page_id, round(-sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score, count(*) AS matched, any_value(n_terms) AS n_terms
+  FROM hits h JOIN df USING (term) JOIN sizes s USING (chunk_id) JOIN terms USING (term) CROSS JOIN whole GROUP BY qid, h.chunk_id)"""
+
+
+def _search(spark: SparkSession, folder: str):
+    chunks = table(spark, folder, "chunks")
+    index = search.build_index(chunks)
+    wanted = search_queries(chunks)
+    return index, wanted, search.scored(index, search.terms_of(wanted))
+
+
+@query(f"""WITH {_BM25} SELECT qid, pos, chunk_id, score FROM (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score, chunk_id) AS pos FROM scored) WHERE pos <= 10""")
+def bm25_top10(spark: SparkSession, folder: str) -> DataFrame:
+    _, _, hits = _search(spark, folder)
+    by = Window.partitionBy("qid").orderBy("score", "chunk_id")
+    return hits.withColumn("pos", F.row_number().over(by)).filter("pos <= 10").select("qid", "pos", "chunk_id", "score")
+
+
+_TIERED = f"""{_BM25}, tiered AS (SELECT *, (matched < n_terms)::INTEGER AS tier FROM scored),
+kw AS (SELECT qid, pos, chunk_id, score, n_terms = 1 OR fully >= 18 AS strict FROM (
+  SELECT *, count_if(tier = 0) OVER (PARTITION BY qid) AS fully FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY tier, score, chunk_id) AS pos FROM tiered) WHERE pos <= 18))"""
+
+
+@query(f"WITH {_TIERED} SELECT qid, pos, chunk_id, score, strict FROM kw")
+def keyword_tiered(spark: SparkSession, folder: str) -> DataFrame:
+    _, _, hits = _search(spark, folder)
+    return search.keyword_search(hits, 18).select("qid", "pos", "chunk_id", "score", "strict")
+
+
+@query(f"WITH {_BM25} SELECT qid, pos, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, chunk_id) AS pos FROM scored WHERE matched = n_terms) WHERE pos <= 10")
+def bm25_strict_and(spark: SparkSession, folder: str) -> DataFrame:
+    _, _, hits = _search(spark, folder)
+    return search.keyword_search(hits, 10, strict_only=True).select("qid", "pos", "chunk_id", "score")
+
+
+def _semantic(spark: SparkSession, folder: str, k: int = 12) -> DataFrame:
+    """``(qid, pos, page_id)``: the pages with the most similar live vectors to each query page's own."""
+    newest = table(spark, folder, "page_vectors").filter("page_id is not null").groupBy("page_id").agg(F.max(F.struct("vec_id", "vec")).alias("t"))
+    good = newest.select("page_id", F.col("t.vec").alias("vec")).filter((F.size("vec") == 384) & F.exists("vec", lambda x: x != 0))
+    alive = vectors.live(good, table(spark, folder, "chunks"))
+    asks = alive.filter(F.col("page_id") % 100 == 0).select(F.col("page_id").alias("qid"), vectors.normalised(F.col("vec"), 384).alias("vec"))
+    found = vectors.exact_top_k(asks, alive.select(F.col("page_id").alias("id"), "vec"), k)
+    return found.select("qid", "pos", F.col("id").alias("page_id"), "similarity")
+
+
+_ALIVE = """
+alive AS (SELECT page_id, vec::DOUBLE[] AS v FROM (SELECT page_id, vec FROM page_vectors WHERE page_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY vec_id DESC) = 1)
+  WHERE len(vec) = 384 AND list_max(list_transform(vec, lambda x: abs(x::INTEGER))) > 0 AND page_id IN (SELECT page_id FROM chunks)),
+asks AS (SELECT page_id AS qid, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS q FROM alive WHERE page_id % 100 = 0),
+sims AS (SELECT qid, page_id, round(list_dot_product(q, v) / 127, 6) AS similarity FROM asks CROSS JOIN alive),
+near AS (SELECT qid, pos, page_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, page_id) AS pos FROM sims) WHERE pos <= 12)"""
+
+
+@query(f"WITH {_ALIVE} SELECT qid, pos, page_id, similarity FROM near")
+def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return _semantic(spark, folder)
+
+
+_BEST = f"""{_BM25}, {_ALIVE.strip()},
+best AS (SELECT qid, near.page_id, coalesce(arg_min(s.chunk_id, (s.score, s.chunk_id)), min(z.first)) AS chunk_id
+  FROM near JOIN queries USING (qid) JOIN (SELECT page_id, min(chunk_id) AS first FROM sizes GROUP BY page_id) z USING (page_id) LEFT JOIN scored s USING (qid, page_id) GROUP BY qid, near.page_id)"""
+
+
+@query(f"WITH {_BEST} SELECT qid, page_id, chunk_id FROM best")
+def best_chunk_per_page(spark: SparkSession, folder: str) -> DataFrame:
+    index, wanted, hits = _search(spark, folder)
+    near = _semantic(spark, folder).join(wanted, "qid", "left_semi")
+    return search.best_chunks(index, hits, near)
+
+
+_FUSED = f"""{_BEST},
+kw AS (SELECT qid, pos, chunk_id, n_terms = 1 OR fully >= 18 AS strict FROM (
+  SELECT *, count_if(tier = 0) OVER (PARTITION BY qid) AS fully FROM (SELECT *, (matched < n_terms)::INTEGER AS tier, row_number() OVER (PARTITION BY qid ORDER BY matched < n_terms, score, chunk_id) AS pos FROM scored) WHERE pos <= 18)),
+lists AS (SELECT qid, chunk_id, CASE WHEN strict THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END / (10 + pos - 1) AS r, pos AS seen FROM kw
+  UNION ALL SELECT qid, chunk_id, 1.0::DOUBLE / (10 + pos - 1), pos + 1000000 FROM near JOIN best USING (qid, page_id)),
+fused AS (SELECT qid, chunk_id, round(sum(r), 9) AS score, min(seen) AS seen FROM lists GROUP BY qid, chunk_id)"""
+
+
+@query(f"WITH {_FUSED} SELECT qid, chunk_id, score FROM fused")
+def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
+    index, wanted, hits = _search(spark, folder)
+    near = _semantic(spark, folder).join(wanted, "qid", "left_semi")
+    best = search.best_chunks(index, hits, near)
+    return search.fuse(search.keyword_search(hits, 18), near.join(best, ["qid", "page_id"])).select("qid", "chunk_id", "score")
+
+
+@query(f"""WITH {_FUSED},
+ranked AS (SELECT f.qid, f.chunk_id, c.page_id, c.title, c.section, row_number() OVER (PARTITION BY f.qid ORDER BY f.score DESC, f.seen) AS pos FROM fused f JOIN corpus c USING (chunk_id)),
+few AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY qid, title ORDER BY pos) <= 2)
+SELECT qid, new AS pos, chunk_id, page_id, title, section FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pos) AS new FROM few) WHERE new <= 6""")
+def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = table(spark, folder, "chunks")
+    wanted = search_queries(chunks)
+    near = _semantic(spark, folder).join(wanted, "qid", "left_semi")
+    return search.hybrid_search(search.build_index(chunks), wanted, 6, near)
+
+
+@query(None)
+def hybrid_search_with_intros(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = table(spark, folder, "chunks")
+    wanted = search_queries(chunks).select("qid", F.concat(F.lit("Historia de "), "query").alias("query"))
+    near = _semantic(spark, folder).join(wanted, "qid", "left_semi")
+    redirects = table(spark, folder, "redirects").withColumnRenamed("target_title", "target")
+    return search.hybrid_search(search.build_index(chunks), wanted, 6, near, current_pages(table(spark, folder, "pages")), redirects)
+
+
+@query(f"""WITH {CURRENT_PAGES}, cur AS (SELECT *, {S.title_key('title')} AS title_key FROM current),
+keys AS (SELECT DISTINCT title_key FROM redirects WHERE title_key IS NOT NULL UNION SELECT DISTINCT title_key FROM cur),
+opt AS (SELECT title_key, 0 AS kind, page_id, title, size FROM cur WHERE title_key IN (SELECT title_key FROM keys)
+  UNION ALL SELECT r.title_key, 1, c.page_id, c.title, c.size FROM redirects r JOIN cur c ON c.title = r.target_title WHERE r.title_key IS NOT NULL)
+SELECT title_key, page_id FROM opt QUALIFY row_number() OVER (PARTITION BY title_key ORDER BY kind, {S.base_key('title')} <> title_key, -coalesce(size, 0), page_id) = 1""")
+def entity_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    pages = current_pages(table(spark, folder, "pages"))
+    redirects = table(spark, folder, "redirects").withColumnRenamed("target_title", "target").filter("title_key is not null")
+    keys = redirects.select("title_key").union(pages.select("title_key"))
+    return search.entity_candidates(pages, redirects, keys)
+
+
+@query(None)
+def entity_intros(spark: SparkSession, folder: str) -> DataFrame:
+    asked = table(spark, folder, "chats").filter("chat_id is not null and title is not null").groupBy(F.col("chat_id").alias("qid")).agg(F.min("title").alias("query"))
+    redirects = table(spark, folder, "redirects").withColumnRenamed("target_title", "target")
+    return search.entity_intros(search.build_index(table(spark, folder, "chunks")), current_pages(table(spark, folder, "pages")), redirects, asked)
+
+
+# ------------------------------------------------------------------ vectors
+
+_UNIT = "list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))))"
+
+
+@query(f"SELECT vec_id, list_transform({_UNIT}, lambda x: greatest(-127, least(127, round_even(x * 127, 0)))::TINYINT) AS vec FROM embeddings")
+def quantize_int8(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "embeddings").select("vec_id", vectors.quantize(F.col("embedding"), 64).alias("vec"))
+
+
+@query(f"""WITH q AS (SELECT vec_id AS qid, {_UNIT} AS u FROM embeddings WHERE vec_id % 100 = 0),
+d AS (SELECT vec_id AS id, list_transform({_UNIT}, lambda x: greatest(-127, least(127, round_even(x * 127, 0)))) AS v FROM embeddings),
+s AS (SELECT qid, id, round(list_dot_product(u, v) / 127, 6) AS similarity FROM q CROSS JOIN d)
+SELECT qid, pos, id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS pos FROM s) WHERE pos <= 10""")
+def embedding_topk(spark: SparkSession, folder: str) -> DataFrame:
+    e = table(spark, folder, "embeddings")
+    asks = e.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("qid"), vectors.normalised(F.col("embedding"), 64).alias("vec"))
+    return vectors.exact_top_k(asks, e.select(F.col("vec_id").alias("id"), vectors.quantize(F.col("embedding"), 64).alias("vec")), 10)
+
+
+@query(None)
+def embedded_pages(spark: SparkSession, folder: str) -> DataFrame:
+    waiting = embedding_queue(spark, folder)
+    return vectors.embed(waiting, vectors.hash_embedder(), 64)
+
+
+# ------------------------------------------------------------------ change feed
+
+
+def _events(spark: SparkSession, folder: str) -> DataFrame:
+    e = table(spark, folder, "events")
+    kind = F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "signup", "move").otherwise("edit")
+    return e.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("title"), kind.alias("kind"), F.when(kind == "move", (F.col("user_id") + 1).cast("string")).alias("target"))
+
+
+_EVENTS = """
+ev AS (SELECT ts, event_id AS seq, user_id::VARCHAR AS title, CASE event_type WHEN 'error' THEN 'delete' WHEN 'signup' THEN 'move' ELSE 'edit' END AS kind,
+  CASE WHEN event_type = 'signup' THEN (user_id + 1)::VARCHAR END AS target FROM events WHERE user_id IS NOT NULL),
+last AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY title ORDER BY seq DESC) = 1)"""
+
+
+@query(f"WITH {_EVENTS} SELECT title, seq, kind, target FROM last")
+def feed_latest_event(spark: SparkSession, folder: str) -> DataFrame:
+    return feed.latest_events(_events(spark, folder)).select("title", "seq", "kind", "target")
+
+
+@query(f"""WITH {_EVENTS}, known AS (SELECT DISTINCT c_custkey::VARCHAR AS title FROM customer),
+act AS (SELECT title, 'delete' AS action, ts, seq FROM last WHERE kind IN ('delete', 'move')
+  UNION ALL SELECT target, 'fetch', ts, seq FROM last WHERE kind = 'move' AND title IN (SELECT title FROM known)
+  UNION ALL SELECT title, 'fetch', ts, seq FROM last WHERE kind = 'edit' AND title IN (SELECT title FROM known))
+SELECT title, action FROM act QUALIFY row_number() OVER (PARTITION BY title ORDER BY ts DESC, seq DESC, action DESC) = 1""")
+def feed_apply(spark: SparkSession, folder: str) -> DataFrame:
+    known = table(spark, folder, "customer").select(F.col("c_custkey").cast("string").alias("title"))
+    return feed.plan_changes(_events(spark, folder), known)
+
+
+@query(f"WITH {_EVENTS} SELECT title, seq, kind, target FROM last")
+def feed_stream(spark: SparkSession, folder: str) -> DataFrame:
+    from sillar.streaming.feed import follow, newest_events
+
+    place = f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
+    raw = stream_of(spark, folder, "events")
+    kind = F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "signup", "move").otherwise("edit")
+    events = raw.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("title"), kind.alias("kind"), F.when(kind == "move", (F.col("user_id") + 1).cast("string")).alias("target"))
+    run = follow(events, f"{place}/versions", f"{place}/checkpoint")
+    run.awaitTermination()
+    found = newest_events(spark, f"{place}/versions")
+    return found.select("title", "seq", "kind", "target")
+
+
+@query(f"""WITH {LAST_IMPORT},
+other AS (SELECT coalesce(a.title, b.title) AS title, b.revid AS r, b.snapshot_ts AS t, b.title IS NULL AS gone FROM a FULL JOIN b ON a.title = b.title),
+x AS (SELECT a.title, CASE WHEN gone THEN 'delete' WHEN a.revid IS NOT NULL AND a.revid IS DISTINCT FROM r THEN 'fetch'
+        WHEN a.revid IS NULL AND t > coalesce(a.snapshot_ts, TIMESTAMPTZ '1970-01-01 00:00:00+00') THEN 'fetch' END AS action FROM a JOIN other USING (title))
+SELECT title, action FROM x WHERE action IS NOT NULL""")
+def catch_up_changed(spark: SparkSession, folder: str) -> DataFrame:
+    before, last, _, _ = _last_import(table(spark, folder, "pages"))
+    theirs = last.select("title", "revid", F.col("snapshot_ts").alias("ts"), F.lit(False).alias("gone"))
+    missing = corpus.delete_keys(before, last, "title").select("title", F.lit(None).cast("long").alias("revid"), F.lit(None).cast("timestamp").alias("ts"), F.lit(True).alias("gone"))
+    return feed.catch_up(before, theirs.unionByName(missing))
+
+
+@query(f"WITH {CURRENT_PAGES} SELECT title, revid FROM current WHERE title > 'L' ORDER BY title LIMIT 500")
+def keyset_page(spark: SparkSession, folder: str) -> DataFrame:
+    return feed.keyset_page(current_pages(table(spark, folder, "pages")).select("title", "revid"), "L")
+
+
+@query("""WITH links AS (SELECT r_name AS category, n_name AS member, true AS is_category FROM region JOIN nation ON n_regionkey = r_regionkey
+  UNION ALL SELECT n_name, c_name, false FROM nation JOIN customer ON c_nationkey = n_nationkey)
+SELECT DISTINCT b.member AS title FROM links a JOIN links b ON b.category = a.member WHERE a.category = 'EUROPE'""")
+def category_closure(spark: SparkSession, folder: str) -> DataFrame:
+    region, nation, customer = (table(spark, folder, n) for n in ("region", "nation", "customer"))
+    up = region.join(nation, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("category"), F.col("n_name").alias("member"), F.lit(True).alias("is_category"))
+    down = nation.join(customer, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("category"), F.col("c_name").alias("member"), F.lit(False).alias("is_category"))
+    return wiki.category_closure(up.unionByName(down), spark.createDataFrame([("EUROPE",)], "category string"), 1)
+
+
+# ------------------------------------------------------------------ conversations
+
+_MESSAGES = "msg AS (SELECT DISTINCT message_id, chat_id, role, content FROM messages WHERE chat_id IS NOT NULL)"
+
+
+@query(f"WITH {_MESSAGES} SELECT chat_id, message_id, role, content FROM msg QUALIFY row_number() OVER (PARTITION BY chat_id ORDER BY message_id DESC) BETWEEN 2 AND 5")
+def chat_context_window(spark: SparkSession, folder: str) -> DataFrame:
+    return C.context_window(table(spark, folder, "messages"), table(spark, folder, "chats"), 4)
+
+
+@query(f"""WITH {_MESSAGES}, upto AS (SELECT chat_id, coalesce(max(summary_upto), 0) AS u FROM chats WHERE chat_id IS NOT NULL GROUP BY chat_id),
+b AS (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY message_id DESC) AS back FROM msg)
+SELECT chat_id, count_if(back > 4 AND message_id > coalesce(u, 0))::BIGINT AS pending, count_if(back > 4 AND message_id > coalesce(u, 0)) >= 4 AS needed FROM b LEFT JOIN upto USING (chat_id) GROUP BY chat_id""")
+def chat_needs_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return C.needs_summary(table(spark, folder, "messages"), table(spark, folder, "chats"), 4)
+
+
+@query(f"""WITH {_MESSAGES}, n AS (SELECT chat_id, count(*) AS n FROM msg GROUP BY chat_id), c AS (SELECT chat_id, max(summary) AS summary FROM chats WHERE chat_id IS NOT NULL GROUP BY chat_id)
+SELECT chat_id, CASE WHEN n - 1 > 4 THEN summary END AS summary FROM c JOIN n USING (chat_id)""")
+def chat_context_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return C.context_summaries(table(spark, folder, "messages"), table(spark, folder, "chats"), 4)
+
+
+_WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+@query(rf"""WITH {_MESSAGES}, u AS (SELECT chat_id, message_id, coalesce(content, '') AS content, lag(coalesce(content, '')) OVER (PARTITION BY chat_id ORDER BY message_id) AS before FROM msg WHERE role = 'user'),
+w AS (SELECT *, trim(regexp_replace(content, '{_WS}', ' ', 'g')) AS line FROM u)
+SELECT chat_id, message_id, CASE WHEN before IS NOT NULL AND (line = '' OR len(string_split(line, ' ')) < 6) THEN before || ' ' || content ELSE content END AS query FROM w""")
+def chat_followup_query(spark: SparkSession, folder: str) -> DataFrame:
+    return C.followup_queries(table(spark, folder, "messages"))
+
+
+@query(rf"""WITH {_MESSAGES}, f AS (SELECT chat_id, trim(regexp_replace(arg_min(content, message_id), '{_WS}', ' ', 'g')) AS line FROM msg WHERE role = 'user' AND content IS NOT NULL GROUP BY chat_id)
+SELECT chat_id, CASE WHEN length(line) <= 60 THEN line ELSE rtrim(substring(line, 1, 59)) || '…' END AS title FROM f""")
+def chat_title(spark: SparkSession, folder: str) -> DataFrame:
+    return C.derived_titles(table(spark, folder, "messages"))
+
+
+@query("SELECT chat_id, title, updated_at FROM chats WHERE chat_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chat_id ORDER BY updated_at DESC NULLS LAST, title DESC NULLS LAST) = 1")
+def chat_list(spark: SparkSession, folder: str) -> DataFrame:
+    return C.chats_by_recency(table(spark, folder, "chats"))
+
+
+# ------------------------------------------------------------------ answers
+
+
+def _answers(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "messages").filter("role = 'assistant'").select("message_id", "content", "sources", "images", "search_query").distinct()
+    titles = F.transform(F.from_json("sources", "array<struct<title:string,section:string>>"), lambda s: s["title"])
+    return rows.withColumn("titles", F.coalesce(titles, F.array().cast("array<string>")))
+
+
+_ANSWERS = """ans AS (SELECT DISTINCT message_id, content, sources, images, search_query FROM messages WHERE role = 'assistant'),
+a AS (SELECT *, coalesce(CASE WHEN json_valid(sources) THEN list_transform(from_json(sources, '[{"title":"VARCHAR"}]'), lambda s: s.title) END, []) AS titles FROM ans)"""
+_CITED = r"regexp_extract_all(coalesce(content, ''), '\[([^\[\]]{2,120})\]', 1)"
+_CITES = rf"""{_ANSWERS}, c AS (SELECT message_id, content, list_distinct(titles) AS titles, {_CITED} AS cited FROM a),
+e AS (SELECT message_id, unnest(cited) AS cite, generate_subscripts(cited, 1) AS i, titles FROM c),
+k AS (SELECT message_id, i, trim(regexp_replace(cite, '\s*\(secci[oó]n[^)]*\)\s*$', '')) AS title, titles FROM e),
+w AS (SELECT message_id, i, title, {S.raw_keywords('title')} AS words, list_filter(list_transform(titles, lambda t: {S.raw_keywords('t')}), lambda k: len(k) > 0) AS known FROM k),
+u AS (SELECT message_id, i, title FROM w WHERE len(words) > 0 AND len(list_filter(known, lambda s: list_has_all(s, words) OR list_has_all(words, s))) = 0),
+bad AS (SELECT message_id, count(*) AS n, list(title ORDER BY i) AS names FROM u GROUP BY message_id)"""
+
+
+@query(rf"""WITH {_CITES}
+SELECT c.message_id, len(cited)::INTEGER AS cited, coalesce(bad.n, 0)::INTEGER AS unsupported, len(cited) > 0 AND coalesce(bad.n, 0) = len(cited) AS warned FROM c LEFT JOIN bad USING (message_id)""")
+def citation_check(spark: SparkSession, folder: str) -> DataFrame:
+    answer, titles = F.col("content"), F.col("titles")
+    return _answers(spark, folder).select("message_id", F.size(T.citations(answer)).alias("cited"), F.size(evaluate.unsupported(answer, titles)).alias("unsupported"), evaluate.all_invented(answer, titles).alias("warned"))
+
+
+_REFUSED = rf"regexp_matches({S.fold(f'''regexp_replace(coalesce(content, ''), '{_WS}', ' ', 'g')''')}, '{T.REFUSAL}')"
+
+
+@query(f"WITH {_ANSWERS} SELECT message_id, {_REFUSED} AS refused FROM a")
+def refusal_flag(spark: SparkSession, folder: str) -> DataFrame:
+    return _answers(spark, folder).select("message_id", T.refused(F.col("content")).alias("refused"))
+
+
+def _scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Every answer scored as if its first source were the article expected and the fact its title's first word."""
+    rows = _answers(spark, folder).withColumn("first", F.get("titles", F.lit(0)))
+    word = F.get(T.keywords(F.col("first")), F.lit(0))
+    items = rows.select(F.col("message_id").alias("qid"), F.col("search_query").alias("question"), F.when(F.col("first").isNotNull(), F.array("first")).otherwise(F.array().cast("array<string>")).alias("articles"), F.when(word.isNotNull(), F.array(F.array(word))).otherwise(F.array().cast("array<array<string>>")).alias("facts"), F.array(F.lit("desconozco")).alias("forbidden"), F.col("first").isNull().alias("unanswerable"))
+    answers = rows.select(F.col("message_id").alias("qid"), F.col("content").alias("answer"), "titles", (F.col("message_id") % 7).cast("double").alias("seconds"))
+    return evaluate.score(items, answers)
+
+
+_SCORES = rf"""{_CITES},
+f AS (SELECT a.message_id AS qid, content, titles[1] AS first, {S.keywords("coalesce(titles[1], '')")}[1] AS word, {S.fold("coalesce(content, '')")} AS folded, {_REFUSED} AS se_niega, {_CITED} AS cited, coalesce(bad.n, 0) AS nbad,
+  trim(regexp_replace(coalesce(content, ''), '{_WS}', ' ', 'g')) AS line FROM a LEFT JOIN bad USING (message_id)),
+h AS (SELECT *, contains(folded, 'desconozco') AS leaked, coalesce(contains(folded, word), false) AS found, first IS NULL AS blank FROM f),
+sc AS (SELECT qid, regexp_matches(coalesce(content, ''), '\[[^\]]+\]') AS cita, se_niega, regexp_matches(folded, '{T.META_TALK}') AS habla_de_fragmentos,
+  CASE WHEN line = '' THEN 0 ELSE len(string_split(line, ' ')) END::INTEGER AS palabras, len(cited) > 0 AND nbad = len(cited) AS cita_inventada,
+  CASE WHEN blank THEN leaked OR NOT se_niega END AS inventa, CASE WHEN blank THEN NOT (leaked OR NOT se_niega) ELSE (word IS NULL OR found) AND NOT leaked END AS acierto,
+  CASE WHEN NOT blank THEN CASE WHEN word IS NULL THEN '0/0' WHEN found THEN '1/1' ELSE '0/1' END END AS datos, CASE WHEN NOT blank THEN true END AS busqueda,
+  CASE WHEN NOT blank THEN se_niega AND NOT ((word IS NULL OR found) AND NOT leaked) END AS se_niega_de_mas, (qid % 7)::DOUBLE AS seconds FROM h)"""
+
+
+@query(f"WITH {_SCORES} SELECT * FROM sc")
+def score_answers(spark: SparkSession, folder: str) -> DataFrame:
+    return _scores(spark, folder)
+
+
+@query(f"""WITH {_SCORES} SELECT count(*) AS preguntas, round_even(100.0::DOUBLE * count_if(acierto) / count(acierto), 0)::INTEGER AS aciertos_pct,
+  round_even(100.0::DOUBLE * count_if(acierto AND datos IS NOT NULL) / count(datos), 0)::INTEGER AS con_respuesta_pct, round_even(100.0::DOUBLE * count_if(acierto AND inventa IS NOT NULL) / count(inventa), 0)::INTEGER AS sin_respuesta_pct,
+  round_even(100.0::DOUBLE * count_if(busqueda) / count(busqueda), 0)::INTEGER AS busqueda_pct, count_if(inventa)::BIGINT AS inventa, count_if(se_niega_de_mas)::BIGINT AS se_niega_de_mas,
+  round_even(100.0::DOUBLE * count_if(cita AND datos IS NOT NULL) / count(datos), 0)::INTEGER AS cita_pct, round_even(100.0::DOUBLE * count_if(habla_de_fragmentos) / count(*), 0)::INTEGER AS habla_de_fragmentos_pct,
+  count_if(cita_inventada)::BIGINT AS citas_inventadas, round_even(avg(palabras) FILTER (WHERE datos IS NOT NULL), 0)::INTEGER AS palabras_promedio, round_even(avg(seconds), 1) AS segundos_promedio FROM sc""")
+def eval_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluate.summarize(_scores(spark, folder))
+
+
+def _image_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = _answers(spark, folder)
+    shown = rows.select(F.explode(F.from_json("images", "array<struct<id:bigint,title:string,caption:string>>")).alias("i")).select(F.col("i.id").alias("image_id"), F.col("i.title").alias("title"), F.col("i.caption").alias("caption"))
+    pictures = shown.filter("image_id is not null and title is not null").groupBy("image_id").agg(F.min("title").alias("title"), F.min("caption").alias("caption"))
+    own = pictures.groupBy("title").agg(F.min("image_id").alias("page_id"))
+    sources = rows.select(F.col("message_id").alias("qid"), F.posexplode(F.array_distinct("titles")).alias("page_rank", "title")).join(own, "title").select("qid", "page_rank", "page_id")
+    asked = rows.select(F.col("message_id").alias("qid"), F.coalesce("search_query", "content", F.lit("")).alias("query"))
+    return pictures.join(own, "title").select("image_id", "page_id", "title", "caption"), sources, asked
+
+
+_IMAGES = f"""{_ANSWERS},
+shown AS (SELECT unnest(from_json(images, '[{{"id":"BIGINT","title":"VARCHAR","caption":"VARCHAR"}}]')) AS i FROM a WHERE json_valid(images)),
+pic AS (SELECT i.id AS image_id, min(i.title) AS title, min(i.caption) AS caption FROM shown WHERE i.id IS NOT NULL AND i.title IS NOT NULL GROUP BY 1),
+own AS (SELECT title, min(image_id) AS page_id FROM pic GROUP BY title), img AS (SELECT pic.*, page_id, row_number() OVER (PARTITION BY page_id ORDER BY image_id) - 1 AS position FROM pic JOIN own USING (title)),
+src AS (SELECT qid, (row_number() OVER (PARTITION BY qid ORDER BY i) - 1)::INTEGER AS page_rank, title FROM (SELECT message_id AS qid, title, min(i) AS i FROM (SELECT message_id, unnest(titles) AS title, generate_subscripts(titles, 1) AS i FROM a) GROUP BY ALL)),
+rows_ AS (SELECT qid, page_rank, image_id, img.title, caption, position FROM src JOIN own USING (title) JOIN img USING (page_id))"""
+
+
+@query(f"""WITH {_IMAGES}, q AS (SELECT message_id AS qid, {S.raw_keywords("coalesce(search_query, content, '')")} AS words FROM a),
+sco AS (SELECT r.*, round(0.05::DOUBLE * len(list_distinct(list_intersect(words, {S.raw_keywords('caption')}))) + CASE WHEN position = 0 THEN 0.08::DOUBLE ELSE 0 END - 0.03::DOUBLE * page_rank, 6) AS score FROM rows_ r JOIN q USING (qid)),
+near_ AS (SELECT * FROM sco QUALIFY score >= round(max(score) OVER (PARTITION BY qid) - 0.12::DOUBLE, 6)),
+two AS (SELECT * FROM near_ QUALIFY row_number() OVER (PARTITION BY qid, title ORDER BY score DESC, page_rank, image_id) <= 2)
+SELECT qid, pos, image_id, title, coalesce(caption, title) AS caption, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, page_rank, image_id) AS pos FROM two) WHERE pos <= 6""")
+def image_rank(spark: SparkSession, folder: str) -> DataFrame:
+    return images.rank_images(*_image_tables(spark, folder))
+
+
+@query(f"""WITH {_IMAGES}, two AS (SELECT * FROM rows_ QUALIFY row_number() OVER (PARTITION BY qid, page_rank ORDER BY image_id) <= 2)
+SELECT qid, pos, image_id, title, coalesce(caption, title) AS caption FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY page_rank, image_id) AS pos FROM two) WHERE pos <= 6""")
+def images_for_pages(spark: SparkSession, folder: str) -> DataFrame:
+    pictures, sources, _ = _image_tables(spark, folder)
+    return images.images_for_pages(pictures, sources)

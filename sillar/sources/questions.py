@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Defaults of a configuration.
-DEFAULTS = {"embed_dims": 384, "top_k": 6, "history_messages": 6, "track_all_changes": False, "skip_bot_edits": True, "update_interval_hours": 12, "category_depth": 2, "seed_titles": [], "seed_categories": [], "rewrite_followups": False}
+DEFAULTS = {"seed_categories": [], "category_depth": 1, "seed_titles": [], "track_all_changes": False, "skip_bot_edits": True, "update_interval_hours": 12, "request_delay_seconds": 0.5, "top_k": 4, "embed_dims": 384, "embed_chars": 400, "history_messages": 6, "summarize_history": True, "rewrite_followups": False}
 CACHE_BYTES = 2 * 1024 * 1024
 
 _SET = "preguntas array<struct<pregunta:string,articulos:array<string>,datos:array<array<string>>,no_debe_decir:array<string>,sin_respuesta:boolean>>"
