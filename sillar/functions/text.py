@@ -6,7 +6,7 @@ import re
 import unicodedata
 from functools import cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The words that carry no meaning in a search, without accents.
@@ -19,7 +19,7 @@ sobre son su sus tambien tan te tiene tienen todo todos tu un una uno unos y ya
 explica explicame sabes saber quiero puedes hablame acerca informacion the of and is what who
 """.split()
 
-WORD = r"([\p{L}\p{N}_]+)"
+WORD = r"([\p{L}\p{N}_\p{M}]+)"
 # Compatibility letters that fold to more than one letter.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬆ": "st", "ĳ": "ij", "ŉ": "ʼn"}
 
@@ -57,8 +57,18 @@ def _unligate(out: Column) -> Column:
     return out
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def fold_word(word: Column) -> Column:
+    """``fold`` of a lower-case word; most are plain ASCII and pass as they are."""
+    return F.when(F.octet_length(word) == F.length(word), word).otherwise(fold(word))
+
+
 def words(text: Column) -> Column:
-    """Runs of letters, digits and underscores."""
+    """Runs of letters, digits, underscores and combining marks."""
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(1))
 
 
@@ -70,9 +80,9 @@ def keywords(text: Column) -> Column:
     """The folded words of more than one letter that are no stopwords, each once, in the
     order of their first occurrence. Null and empty texts give an empty array.
 
-    Folding comes first, so a decomposed accent does not split its word.
+    A decomposed accent does not split its word.
     """
-    return F.array_distinct(F.filter(words(fold(F.coalesce(text, F.lit("")))), meaningful))
+    return F.array_distinct(F.filter(F.transform(words(F.lower(F.coalesce(text, F.lit("")))), fold_word), meaningful))
 
 
 def title_key(title: Column) -> Column:
@@ -90,21 +100,19 @@ def query_terms(query: Column) -> Column:
     written with a capital that is not the query's first word."""
     raw = F.transform(words(F.coalesce(query, F.lit(""))), lambda w, i: F.struct(fold(w).alias("term"), ((i > 0) & w.rlike(r"^\p{Lu}")).alias("capital")))
     kept = F.filter(raw, lambda x: meaningful(x["term"]))
-    names = F.transform(kept, lambda x: x["term"])
-    return F.filter(kept, lambda x, i: F.array_position(names, x["term"]) == i + 1)
-
-
-def title_grams(terms: Column, longest: int = 4) -> Column:
-    """``array<struct<gram, start, size>>``: runs of up to ``longest`` keywords that may be a
-    title, longest first: those that begin with a capital, or that are the whole query."""
-    n = F.size(terms)
-
-    def of_size(size: Column) -> Column:
-        starts = F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
-        kept = F.filter(starts, lambda s: (size == n) | F.get(terms, s)["capital"])
-        return F.transform(kept, lambda s: F.struct(F.array_join(F.transform(F.slice(terms, s + 1, size), lambda t: t["term"]), " ").alias("gram"), s.cast("int").alias("start"), size.cast("int").alias("size")))
-
-    return F.flatten(F.transform(F.sequence(F.lit(longest), F.lit(1)), of_size))
+    return bind(kept, lambda k: F.filter(k, lambda x, i: F.array_position(F.transform(k, lambda t: t["term"]), x["term"]) == i + 1))
+
+
+def query_grams(queries: DataFrame, longest: int = 4) -> DataFrame:
+    """``(<columns but query>, gram, start, size)``: the runs of up to ``longest`` keywords of ``query`` that may be a
+    title: those that begin with a capital, or that are the whole query."""
+    kept = [c for c in queries.columns if c != "query"]
+    terms = queries.select(*kept, query_terms(F.col("query")).alias("__t"))
+    sized = terms.select(*kept, "__t", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("size")).filter(F.size("__t") >= F.col("size"))
+    runs = sized.select(*kept, "__t", "size", F.explode(F.sequence(F.lit(0), F.size("__t") - F.col("size"))).alias("start"))
+    runs = runs.filter((F.col("size") == F.size("__t")) | F.get("__t", F.col("start"))["capital"])
+    gram = F.array_join(F.transform(F.slice("__t", F.col("start") + 1, F.col("size")), lambda t: t["term"]), " ")
+    return runs.select(*kept, gram.alias("gram"), "start", "size")
 
 
 def is_prefix_term(term: Column) -> Column:

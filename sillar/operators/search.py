@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sillar.functions import text as T
+from sillar.session import cut
 
 # Column weights, BM25 parameters, fusion constant.
 TITLE_WEIGHT, SECTION_WEIGHT, TEXT_WEIGHT = 8.0, 3.0, 1.0
@@ -32,12 +33,12 @@ LOOSE_WEIGHT = 0.8
 PREFIX_FROM = 5
 PER_TITLE = 2
 
-TOKEN = r"([\p{L}\p{N}]+)"
+TOKEN = r"([\p{L}\p{N}\p{M}]+)"
 
 
 def tokens(text: Column) -> Column:
     """Folded runs of letters and digits; an underscore divides them."""
-    return F.regexp_extract_all(T.fold(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(1))
+    return F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(1)), T.fold_word)
 
 
 @dataclass(frozen=True)
@@ -50,15 +51,43 @@ class Index:
     corpus: DataFrame
 
 
+#: Stands in the postings for a row as a whole; its weight is the row's length.
+WHOLE = ""
+
+
+def postings_of(corpus: DataFrame) -> DataFrame:
+    """``(word, chunk_id, page_id, f)``, made in one pass and one shuffle, sizes included."""
+    parts = corpus.select("chunk_id", "page_id", tokens(F.col("title")).alias("a"), tokens(F.col("section")).alias("b"), tokens(F.col("text")).alias("c"))
+    one = lambda word, w: F.struct(word.alias("word"), w.cast("double").alias("w"))
+    weighted = lambda column, w: F.transform(column, lambda x: one(x, F.lit(w)))
+    length = F.size("a") + F.size("b") + F.size("c")
+    every = F.concat(weighted(F.col("a"), TITLE_WEIGHT), weighted(F.col("b"), SECTION_WEIGHT), weighted(F.col("c"), TEXT_WEIGHT), F.array(one(F.lit(WHOLE), length)))
+    return parts.select("chunk_id", "page_id", F.explode(every).alias("t")).groupBy(F.col("t.word").alias("word"), "chunk_id", "page_id").agg(F.sum("t.w").alias("f"))
+
+
+def _index(postings: DataFrame, corpus: DataFrame) -> Index:
+    sizes = postings.filter(F.col("word") == WHOLE).select("chunk_id", "page_id", F.col("f").alias("dl"))
+    return Index(postings.filter(F.col("word") != WHOLE).select("word", "chunk_id", "f"), sizes, corpus)
+
+
+def unique_rows(corpus: DataFrame) -> DataFrame:
+    return corpus.select("chunk_id", "page_id", "title", "section", "text").distinct()
+
+
 def build_index(corpus: DataFrame) -> Index:
-    """The inverted index of a corpus. Null titles, sections and texts are empty."""
-    rows = corpus.select("chunk_id", "page_id", "title", "section", "text").distinct()
-    parts = rows.select("chunk_id", "page_id", tokens(F.col("title")).alias("a"), tokens(F.col("section")).alias("b"), tokens(F.col("text")).alias("c"))
-    sizes = parts.select("chunk_id", "page_id", (F.size("a") + F.size("b") + F.size("c")).alias("dl"))
-    weighted = lambda column, w: F.transform(column, lambda x: F.struct(x.alias("word"), F.lit(w).alias("w")))
-    every = parts.select("chunk_id", F.explode(F.concat(weighted(F.col("a"), TITLE_WEIGHT), weighted(F.col("b"), SECTION_WEIGHT), weighted(F.col("c"), TEXT_WEIGHT))).alias("t"))
-    postings = every.groupBy(F.col("t.word").alias("word"), "chunk_id").agg(F.sum("t.w").alias("f"))
-    return Index(postings, sizes, rows)
+    """The inverted index of a corpus, written once to the shared folder, as it is read several times. Null titles,
+    sections and texts are empty."""
+    rows = unique_rows(corpus)
+    return _index(cut(postings_of(rows)), rows)
+
+
+def write_index(corpus: DataFrame, folder: str) -> None:
+    """The index as Parquet, ranged by word, so that a search reads only the files and row groups of its words."""
+    postings_of(unique_rows(corpus)).repartitionByRange("word").sortWithinPartitions("word", "chunk_id").write.mode("overwrite").parquet(folder)
+
+
+def read_index(corpus: DataFrame, folder: str) -> Index:
+    return _index(corpus.sparkSession.read.parquet(folder), unique_rows(corpus))
 
 
 def terms_of(queries: DataFrame) -> DataFrame:
@@ -70,12 +99,14 @@ def terms_of(queries: DataFrame) -> DataFrame:
 def scored(index: Index, terms: DataFrame) -> DataFrame:
     """``(qid, chunk_id, page_id, score, matched, n_terms)`` of every row that matches any term of a query."""
     wanted = terms.select("term").distinct()
-    vocabulary = index.postings.select("word").distinct()
+    longest = wanted.agg(F.coalesce(F.max(F.length("term")), F.lit(0)).alias("longest"))
+    vocabulary = index.postings.select("word").distinct().crossJoin(F.broadcast(longest))  # one row
     short = F.array("word")
-    prefixes = F.transform(F.sequence(F.lit(PREFIX_FROM), F.length("word")), lambda n: F.substring(F.col("word"), F.lit(1), n))
+    most = F.greatest(F.lit(PREFIX_FROM), F.least(F.length("word"), F.col("longest")))  # no longer than any term, so long words cost no more
+    prefixes = F.transform(F.sequence(F.lit(PREFIX_FROM), most), lambda n: F.substring(F.col("word"), F.lit(1), n))
     keys = vocabulary.select("word", F.explode(F.when(F.length("word") >= PREFIX_FROM, prefixes).otherwise(short)).alias("term"))
     spread = keys.join(wanted, "term").select("term", "word")
-    hits = index.postings.join(spread, "word").groupBy("term", "chunk_id").agg(F.sum("f").alias("f"))
+    hits = cut(index.postings.join(spread, "word").groupBy("term", "chunk_id").agg(F.sum("f").alias("f")))
     whole = index.sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(whole))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -126,7 +157,7 @@ def entity_intros(index: Index, pages: DataFrame, redirects: DataFrame, queries:
     Longer runs of words go first; a run that shares a word with one taken, or leads to a
     page taken, is passed over.
     """
-    grams = queries.select("qid", F.posexplode(T.title_grams(T.query_terms(F.col("query")), longest)).alias("g", "x")).select("qid", "g", F.col("x.gram").alias("title_key"), F.col("x.start").alias("start"), F.col("x.size").alias("size"))
+    grams = T.query_grams(queries.select("qid", "query"), longest).select("qid", (-F.col("size")).alias("g"), F.col("gram").alias("title_key"), "start", "size")
     found = entity_candidates(pages, redirects, grams.select("title_key"))
     first = index.sizes.groupBy("page_id").agg(F.min("chunk_id").alias("chunk_id"))
     options = grams.join(found, "title_key").join(first, "page_id").groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("g", "start", "size", "page_id", "chunk_id"))).alias("o"))

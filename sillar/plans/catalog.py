@@ -218,8 +218,7 @@ def query_terms(spark: SparkSession, folder: str) -> DataFrame:
 s AS (SELECT *, unnest(range(1, 5)) AS size FROM l), p AS (SELECT *, unnest(range(0, greatest(0, len(t) - size + 1))) AS start FROM s)
 SELECT chat_id, title, array_to_string(t[start + 1:start + size], ' ') AS gram, start::INTEGER AS start, size::INTEGER AS size FROM p WHERE size = len(t) OR c[start + 1]""")
 def query_ngrams(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _chat_titles(spark, folder).select("chat_id", "title", F.explode(T.title_grams(T.query_terms(F.col("title")))).alias("g"))
-    return rows.select("chat_id", "title", F.col("g.gram").alias("gram"), F.col("g.start").alias("start"), F.col("g.size").alias("size"))
+    return T.query_grams(_chat_titles(spark, folder).withColumn("query", F.col("title")))
 
 
 _SKIP = ", ".join(f"'{s}'" for s in chunking.SKIPPED_SECTIONS)
