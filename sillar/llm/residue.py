@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import html
 import re
-import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import ahocorasick
@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sillar.llm.plaintext import plain
+
 TEMPLATE, FILLER, ERROR = "template", "filler", "error"
 
 # ---------------------------------------------------------------- phrases
@@ -108,48 +110,54 @@ _HEADING = re.compile(r"^\s*(={2,6}).*\1\s*$|^\s*#{1,6}\s.*$")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\s]+|\n+")
 
 
-def plain(text: str) -> str:
-    """Lower case without accents, as long as the text wherever letters are single."""
-    return "".join(c for c in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(c))
+# Words that begin a direction to the author.
+_DIRECTING = """aqui|en este hueco|en este espacio|en este lugar|en este apartado|inserte|insertar|inserta|redacte|redactar|redacta|anada|anadir|anade|agregue|agregar|escriba|escribir|escribe|complete|completar|completa|rellene
+rellenar|ponga|introduzca|incluya|describa|por redactar|por escribir|por completar|falta|faltan|pendiente|proximamente|se anadira|se completara|se redactara|insert|write|add|describe|fill in|insira|escreva|adicione|inserez|ajoutez""".replace("\n", "|").split("|")
 
 
-def _automaton() -> ahocorasick.Automaton:
+def _automaton(*groups: tuple[str, list[str]]) -> ahocorasick.Automaton:
     trie = ahocorasick.Automaton()
-    for kind, phrases in (("w", WEAK), ("f", FILL), ("s", STRONG)):
-        for phrase in phrases:
-            if phrase:
-                trie.add_word(phrase, (kind, len(phrase)))
+    for kind, phrases in groups:
+        for phrase in filter(None, phrases):
+            kinds = trie.get(phrase, ("", 0))[0]
+            trie.add_word(phrase, (kinds + kind, len(phrase)))
     trie.make_automaton()
     return trie
 
 
-_TRIE = None
+#: What makes a text worth a closer look, and all that counts within a sentence.
+_TELLING = _automaton(("s", STRONG), ("f", FILL), ("d", _DIRECTING), ("l", [w for w in LATIN if w not in _COMMON]))
+_EVERY = _automaton(("w", WEAK), ("s", STRONG), ("f", FILL))
 
 
-def _hits(text: str) -> list[tuple[int, int, str]]:
-    """Phrases at word borders, as ``(start, end, kind)``."""
-    global _TRIE
-    if _TRIE is None:
-        _TRIE = _automaton()
+def _hits(text: str, trie: ahocorasick.Automaton = _EVERY) -> list[tuple[int, int, str]]:
+    """Phrases at word borders, as ``(start, end, kinds)``."""
     out = []
-    for last, (kind, length) in _TRIE.iter(text):
+    for last, (kinds, length) in trie.iter(text):
         start, end = last - length + 1, last + 1
-        if (start and text[start - 1].isalnum() and text[start].isalnum()) or (end < len(text) and text[end].isalnum() and text[last].isalnum() and not (kind == "s" and text[last].isdigit())):
+        if start and text[start - 1].isalnum() and text[start].isalnum():
+            continue
+        if end < len(text) and text[end].isalnum() and text[last].isalnum() and not ("s" in kinds and text[last].isdigit()):
             continue
-        out.append((start, end, kind))
+        out.append((start, end, kinds))
     return out
 
 
+_NO_LETTER = re.compile(r"[\W\d_]+")
+
+
 def _share(sentence: str, kinds: str, hits: list[tuple[int, int, str]]) -> float:
-    letters = [c.isalpha() for c in sentence]
-    total = sum(letters)
+    """The part of the sentence's letters that phrases of these kinds cover."""
+    total = len(_NO_LETTER.sub("", sentence))
     if not total:
         return 0.0
-    covered = bytearray(len(sentence))
-    for start, end, kind in hits:
-        if kind in kinds:
-            covered[start:end] = b"\1" * (end - start)
-    return sum(1 for a, b in zip(letters, covered) if a and b) / total
+    covered, at = 0, 0
+    for start, end, kind in sorted(h for h in hits if any(k in h[2] for k in kinds)):
+        start = max(start, at)
+        if end > start:
+            covered += len(_NO_LETTER.sub("", sentence[start:end]))
+            at = end
+    return covered / total
 
 
 def _dummy_latin(sentence: str) -> bool:
@@ -169,21 +177,30 @@ def _field_name(name: str) -> bool:
     return base.replace(" ", "_") in FIELDS
 
 
+#: What a text must hold for a kind of marker to be in it.
+_TRIGGERS = {
+    "braces": ("{{",), "brace": ("{",), "dollar": ("${", "$("), "percent": ("%",), "at": ("@@",), "under": ("__",), "hash": ("#",), "square": ("[",), "quote": ("«",), "round": (" por ", " pend", " to be", " POR "),
+    "crosses": ("XXX", "NNNN", "####", "9999-", "0000-", "DD", "YYYY", "TBD", "TBC", "FIXME", "_HERE"), "doubt": ("¿¿??", "????"),
+}
+
+
 def unfilled_field(text: str, quoted: list[tuple[int, int]] | None = None) -> str | None:
     """The first unfilled field that is not only spoken of."""
     if quoted is None:
         quoted = [m.span() for m in _QUOTES.finditer(text)]
     for kind, pattern in _MARKERS:
+        if not any(t in text for t in _TRIGGERS[kind]):
+            continue
         for m in pattern.finditer(text):
             if kind == "quote" or not _spoken_of(text, *m.span(), quoted, False):
                 if kind == "quote" and _spoken_of(text, *m.span(), quoted, True):
                     continue
                 return m.group()
-    for m in _TODO.finditer(text):
+    for m in _TODO.finditer(text) if "TODO" in text else ():
         around = text[max(0, m.start() - 40) : m.start()] + text[m.end() : m.end() + 40]
         if sum(c.islower() for c in around) > sum(c.isupper() for c in around) and not _spoken_of(text, *m.span(), quoted, False):
             return m.group()
-    for m in _FIELD.finditer(text):
+    for m in _FIELD.finditer(text) if "[" in text or "<" in text else ():
         name = m.group(1)
         if m.group()[0] == "<" and (name.lower() in _HTML_TAGS or m.group()[-1] != ">"):
             continue
@@ -198,31 +215,73 @@ def residue(text: str | None, sentence_share: float = 0.5, text_share: float = 0
     """``template``, ``filler``, ``error`` or None for one text. Null and blank texts hold nothing."""
     if not text or text.isspace():
         return None
-    shown = html.unescape(text)
+    shown = html.unescape(text) if "&" in text else text
     quoted = [m.span() for m in _QUOTES.finditer(shown)]
     if unfilled_field(shown, quoted) is not None:
         return TEMPLATE
-    bare = _TAG.sub(" ", shown)
-    masked = _QUOTES.sub(lambda m: " " + "§" * (len(m.group()) - 1), bare)
-    lines = [x for x in masked.split("\n") if not _HEADING.match(x)]
-    sentences = [s.strip() for line in lines for s in _SENTENCE.split(line) if any(c.isalnum() or c == "§" for c in s)]
-    flagged = total = 0
+    bare = _TAG.sub(lambda m: " " * len(m.group()), shown) if "<" in shown else shown
+    if quoted:
+        bare = _QUOTES.sub(lambda m: "§" * len(m.group()), bare)
+    p = plain(bare)
+    telling = _hits(p, _TELLING)
+    if not telling:
+        return None
+    spans = _sentences(p)
+    starts = [a for a, _ in spans]
+    within: dict[int, str] = {}
+    for start, _, kinds in telling:
+        i = bisect_right(starts, start) - 1
+        if i >= 0 and start < spans[i][1]:
+            within[i] = within.get(i, "") + kinds
     strong = False
-    for i, sentence in enumerate(sentences):
-        p = plain(sentence)
-        hits = _hits(p)
-        if any(k == "f" for _, _, k in hits) and _share(p, "f", hits) >= sentence_share and "§" not in sentence:
-            return FILLER
-        if (_dummy_latin(p) or _DIRECTION.match(p)) and "§" not in sentence:
-            return FILLER
-        size = len(p)
-        if i == 0 and len(sentences) > 1 and size <= 90 and not any(k in "sf" for _, _, k in hits):
-            continue  # a title line or the title as a sentence
-        total += size
-        if _share(p, "sw", hits) >= sentence_share or re.fullmatch(r"[\W\d_a-f]*|\W*nginx\W*", p):
-            flagged += size
-            strong = strong or any(k == "s" for _, _, k in hits)
-    return ERROR if strong and total and flagged >= text_share * total else None
+    flagged: dict[int, bool] = {}
+
+    def is_notice(i: int) -> bool:
+        if i not in flagged:
+            sentence = p[slice(*spans[i])]
+            flagged[i] = _share(sentence, "sw", _hits(sentence)) >= sentence_share or bool(_FURNITURE.fullmatch(sentence))
+        return flagged[i]
+
+    for i, kinds in within.items():
+        sentence = p[slice(*spans[i])]
+        if "§" not in sentence:
+            if "f" in kinds and _share(sentence, "f", _hits(sentence)) >= sentence_share:
+                return FILLER
+            if (kinds.count("l") > 1 and _dummy_latin(sentence)) or ("d" in kinds and _DIRECTION.match(sentence)):
+                return FILLER
+        strong = strong or ("s" in kinds and is_notice(i))
+    if not strong:
+        return None
+    sizes = [b - a for a, b in spans]
+    if len(spans) > 1 and sizes[0] <= 90 and not any(k in within.get(0, "") for k in "sf"):
+        sizes[0] = 0  # a title line, or the title as a sentence
+    allowed = (1 - text_share) * sum(sizes)
+    for i, size in enumerate(sizes):
+        if size and not is_notice(i):
+            allowed -= size
+            if allowed < 0:
+                return None
+    return ERROR
+
+
+_FURNITURE = re.compile(r"[\W\d_a-f]*|\W*nginx\W*")
+
+
+def _sentences(text: str) -> list[tuple[int, int]]:
+    """Where the sentences lie, without headings and what has no letter, digit or quotation."""
+    out, at = [], 0
+    for line in text.split("\n"):
+        if line and not _HEADING.match(line):
+            start = at
+            for m in [*_SENTENCE.finditer(line), None]:
+                end = at + (m.start() if m else len(line))
+                piece = text[start:end]
+                lead = len(piece) - len(piece.lstrip())
+                if any(c.isalnum() or c == "§" for c in piece):
+                    out.append((start + lead, start + len(piece.rstrip())))
+                start = at + m.end() if m else end
+        at += len(line) + 1
+    return out
 
 
 def _judge(id_type: pa.DataType):
