@@ -1,8 +1,10 @@
 """Conversation windows, follow-up queries and titles.
 
 ``messages``: ``message_id, chat_id, role, content, created_at``. Order is that of ``message_id``, the arrival.
-Rows of one ``message_id`` count once. The operators look at a chat through running positions over range
-partitions nowhere: a chat's window is small and its turns are ranked per chat.
+Rows of one ``message_id`` count once.
+
+A chat may hold a third of all messages. Windows that keep the last few rows of a chat are cut down before the
+shuffle; what must see every row of a chat is an aggregate, or a rank by running sums over range partitions.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sillar.functions import text as T
+from sillar.operators.ordered import running_sum
 
 TITLE_CHARS, RENAME_CHARS = 60, 120
 UNTITLED = "Sin título"
@@ -40,19 +43,23 @@ def needs_summary(messages: DataFrame, chats: DataFrame, recent: int, slack: int
     whether they are at least ``slack``."""
     back = Window.partitionBy("chat_id").orderBy(F.col("message_id").desc())
     upto = chats.filter("chat_id is not null").groupBy("chat_id").agg(F.coalesce(F.max("summary_upto"), F.lit(0)).alias("upto"))
-    rows = unique_messages(messages).withColumn("back", F.row_number().over(back)).join(upto, "chat_id", "left")
-    outside = (F.col("back") > recent) & (F.col("message_id") > F.coalesce("upto", F.lit(0)))
-    return rows.groupBy("chat_id").agg(F.count_if(outside).alias("pending")).withColumn("needed", F.col("pending") >= slack)
+    rows = unique_messages(messages).select("chat_id", "message_id")
+    inside = rows.withColumn("back", F.row_number().over(back)).filter(F.col("back") <= recent)
+    edge = inside.groupBy("chat_id").agg(F.min("message_id").alias("edge"))
+    bounds = rows.select("chat_id").distinct().join(edge, "chat_id", "left").join(upto, "chat_id", "left")
+    outside = (F.col("edge").isNull() | (F.col("message_id") < F.col("edge"))) & (F.col("message_id") > F.coalesce("upto", F.lit(0)))
+    return rows.join(bounds, "chat_id").groupBy("chat_id").agg(F.count_if(outside).alias("pending")).withColumn("needed", F.col("pending") >= slack)
 
 
 def followup_queries(messages: DataFrame) -> DataFrame:
     """``(chat_id, message_id, query)``: what to search for each user message: a question of less than six words is
     joined to the one before."""
-    w = Window.partitionBy("chat_id").orderBy("message_id")
-    users = unique_messages(messages).filter("role = 'user'").withColumn("content", F.coalesce("content", F.lit("")))
-    before = F.lag("content").over(w)
-    short = (T.word_count(F.col("content")) < SHORT_QUESTION) & before.isNotNull()
-    return users.select("chat_id", "message_id", F.when(short, F.concat(before, F.lit(" "), F.col("content"))).otherwise(F.col("content")).alias("query"))
+    users = unique_messages(messages).filter("role = 'user'").select("chat_id", "message_id", F.coalesce("content", F.lit("")).alias("content"))
+    ranked = running_sum(users, "chat_id", ["message_id", "content"], name="rank")
+    before = ranked.select("chat_id", (F.col("rank") + 1).alias("rank"), F.col("content").alias("before"))
+    joined = ranked.join(before, ["chat_id", "rank"], "left")
+    short = (T.word_count(F.col("content")) < SHORT_QUESTION) & F.col("before").isNotNull()
+    return joined.select("chat_id", "message_id", F.when(short, F.concat("before", F.lit(" "), "content")).otherwise(F.col("content")).alias("query"))
 
 
 def derived_titles(messages: DataFrame) -> DataFrame:

@@ -58,3 +58,16 @@ def default_parallelism(spark: SparkSession) -> int:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out over all cores, if it comes straight from fewer pieces than there are cores; else as it is.
+
+    For work in Python that costs far more than moving the rows. Large tables come in more pieces than cores and are
+    not moved; a plan that shuffles already is left alone.
+    """
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return df
+    cores = default_parallelism(df.sparkSession)
+    return df.repartition(cores) if plan.outputPartitioning().numPartitions() < cores else df
