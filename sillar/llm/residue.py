@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sillar.llm.plaintext import plain
+from sillar.session import spread
 
 TEMPLATE, FILLER, ERROR = "template", "filler", "error"
 
@@ -299,7 +300,7 @@ def residue_kinds(documents: DataFrame, id_column: str = "doc_id", text_column:
     Null and blank texts hold nothing and give null. Repeated rows are judged each.
     An empty table gives no rows. Other columns are not read.
     """
-    slim = documents.select(id_column, text_column)
+    slim = spread(documents.select(id_column, text_column))
     return slim.mapInArrow(_judge(None), f"{id_column} {slim.schema[id_column].dataType.simpleString()}, kind string")
 
 
@@ -313,7 +314,7 @@ def without_residue(documents: DataFrame, id_column: str = "doc_id", text_column
     unless their own text is residue."""
     width = len(documents.columns)
     names = [f"c{i}" for i in range(width)]
-    slim = documents.toDF(*names)
+    slim = spread(documents.toDF(*names))
     text = names[documents.columns.index(text_column)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

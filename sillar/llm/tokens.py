@@ -14,6 +14,8 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from sillar.session import spread
+
 FOLDER = "/opt/tokenizers"
 #: Byte-level BPE trained on many languages; 50,256 ranks.
 NAME = "byte_bpe_multi_50k.tiktoken"
@@ -48,4 +50,4 @@ def token_sizes(documents: DataFrame, id_column: str, text_column: str, extra: l
             full = pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(sizes, pa.int64())], names=[*kept, "tokens"])
             yield full.filter(full.column(len(kept)).is_valid())
 
-    return slim.mapInArrow(run, f"{fields}, tokens long")
+    return spread(slim).mapInArrow(run, f"{fields}, tokens long")

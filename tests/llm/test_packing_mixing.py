@@ -6,7 +6,6 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from sillar.llm.mixing import finish_time, mixture
-from sillar.llm.ordered import running_sum
 from sillar.llm.packing import pack, packing_report, plan, slots
 from sillar.llm.tokens import FOLDER, NAME, encoding, token_sizes
 
@@ -41,17 +40,6 @@ def test_plan_equals_best_fit_item_by_item(capacity, items):
     assert set(table) == set(items)
 
 
-def test_running_sum(spark):
-    rng = random.Random(2)
-    rows = [("hot" if i % 3 else f"g{i % 7}", i, rng.randrange(9), "x") for i in range(500)]
-    rng.shuffle(rows)
-    got = running_sum(spark.createDataFrame(rows, "g string, i long, v long, __x string"), "g", ["i"], "v").collect()
-    want = {}
-    for g, i, v, _ in sorted(rows, key=lambda r: r[1]):
-        want[i] = sum(x[2] for x in rows if x[0] == g and x[1] < i)
-    assert len(got) == 500 and all(r.before == want[r.i] for r in got)
-
-
 def test_tokens_are_exact_and_whole(spark):
     from pathlib import Path
 
