@@ -15,7 +15,6 @@ from sillar.functions import text as T
 # What a merge did with a title.
 NEW, CHANGED, SAME, NEWER, DELETED = "nuevo", "cambiado", "igual", "local más reciente", "borrado"
 
-EPOCH = F.timestamp_seconds
 LEAST_CHARS = 200
 
 

@@ -32,6 +32,7 @@ def all_invented(answer: Column, titles: Column) -> Column:
     return (F.size(cited) > 0) & (F.size(unsupported(answer, titles)) == F.size(cited))
 
 
+# Fixed value: the words of the warning.
 def citation_warning(answer: Column, titles: Column) -> Column:
     """The text of the warning, or null."""
     names = F.array_join(F.array_distinct(unsupported(answer, titles)), ", ")
