@@ -41,6 +41,7 @@ SHARD_ROWS = 16_384
 QUERY_ROWS = 16_384
 LEAF_ROWS = 512
 MIN_GAP = 0.04
+SLACK = np.float32(1e-3)
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -55,12 +56,17 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 class VantageTree:
     """A binary tree of balls: points within ``radius`` of a node's vantage point lie in
-    its inner branch, all others in its outer branch."""
+    its inner branch, all others in its outer branch.
 
-    def __init__(self, points: np.ndarray, leaf_rows: int, seed: int = 7, picks: int = 6, look: int = 4096):
-        self.points = points
+    ``whole`` tells that the points are all there are, so that the ranges of their
+    distances bound a branch; else only the radius does.
+    """
+
+    def __init__(self, points: np.ndarray, leaf_rows: int, whole: bool = True, seed: int = 7, picks: int = 6, look: int = 4096):
+        self.points, self.whole = points, whole
         self.centres: list[np.ndarray] = []
         self.nodes: list[tuple[float, int, int]] = []  # radius, inner, outer; leaves are ~number
+        self.ranges: list[tuple[float, float, float, float]] = []  # of distances, inner and outer
         self.leaves: list[np.ndarray] = []
         self._rng = np.random.default_rng(seed)
         self._picks, self._look = picks, look
@@ -84,6 +90,8 @@ class VantageTree:
             children = [0, 0]
             holders.append(children)
             self.nodes.append((radius, 0, 0))
+            d = distances(self.points[rows], centre[None])[:, 0]
+            self.ranges.append((d[near].min(), d[near].max(), d[~near].min(), d[~near].max()) if self.whole else (0.0, radius, radius, 2.0))
             todo.append((rows[near], children, 0))
             todo.append((rows[~near], children, 1))
         self.nodes = [(r, *c) for (r, _, _), c in zip(self.nodes, holders)]
@@ -135,7 +143,9 @@ class VantageTree:
                 near = d <= radius
                 todo += [(outer, rows[~near], bounds[~near]), (inner, rows[near], bounds[near])]
                 continue
-            steps = [(outer, rows, np.maximum(bounds, radius - d)), (inner, rows, np.maximum(bounds, d - radius))]
+            a, b, e, f = self.ranges[node]
+            d_low, d = d - SLACK, d + SLACK  # float32 distances of near equal points are only so exact
+            steps = [(outer, rows, np.maximum(bounds, np.maximum(e - d, d_low - f))), (inner, rows, np.maximum(bounds, np.maximum(a - d, d_low - b)))]
             todo += steps if np.median(d) <= radius else steps[::-1]
 
     def own_leaf(self, queries: np.ndarray) -> np.ndarray:
@@ -262,8 +272,10 @@ def nearest_pages(vectors: DataFrame, k: int = 10, factor: float = FACTOR, dims:
     vectors take no part; an empty table gives no rows.
     """
     spark = vectors.sparkSession
-    live = cut(live_vectors(vectors, dims))
-    classes = live.groupBy("vec").agg(F.min("page_id").alias("cls"), F.count(F.lit(1)).alias("pages"))
+    # equal vectors meet by a digest of 128 bits, so that what is joined and grouped stays small
+    digest = [F.xxhash64("vec").alias("d1"), F.xxhash64("vec", F.lit(1)).alias("d2")]
+    live = cut(live_vectors(vectors, dims).select("page_id", "vec", *digest))
+    classes = cut(live.groupBy("d1", "d2").agg(F.min("page_id").alias("cls"), F.count(F.lit(1)).alias("pages"), F.first("vec").alias("vec")))
     total = classes.count()
     if total == 0:
         return spark.createDataFrame([], "page_id long, place int, neighbour long, similarity double")
@@ -271,7 +283,7 @@ def nearest_pages(vectors: DataFrame, k: int = 10, factor: float = FACTOR, dims:
     share = min(1.0, 1.1 * sample_rows / total)
     picked = classes.filter(F.pmod(F.xxhash64(F.col("cls"), F.lit(11)), F.lit(1 << 30)) <= int(share * (1 << 30))).select("vec").limit(sample_rows).toArrow()
     sample = _matrix(picked.column("vec").combine_chunks() if picked.num_rows else pa.array([], pa.list_(pa.int8()))) if picked.num_rows else np.zeros((0, dims), dtype=np.int8)
-    tree = VantageTree(unit(sample.astype(np.float32)), max(64, int(shard_rows * len(sample) / total)))
+    tree = VantageTree(unit(sample.astype(np.float32)), max(64, int(shard_rows * len(sample) / total)), whole=False)
     routed = cut(classes.repartition(max(shuffle_width(spark), -(-total // shard_rows)), "cls").select("cls", "vec").mapInArrow(_route(tree, k, factor), ROUTED))
     # divide what is larger than a shard; one row per leaf and one per visited leaf on the driver
     sizes = {r["leaf"]: r["count"] for r in routed.groupBy("leaf").count().collect()}
@@ -281,7 +293,8 @@ def nearest_pages(vectors: DataFrame, k: int = 10, factor: float = FACTOR, dims:
         shards, blocks = -(-sizes[leaf] // shard_rows), -(-asked.get(leaf, 0) // query_rows)
         layout += [(leaf, shards, blocks, tasks)]
         tasks += shards * blocks
-    plan = spark.createDataFrame(layout, "at int, shards int, blocks int, base int")
+    # one row per leaf, and there are no more leaves than rows in the sample
+    plan = F.broadcast(spark.createDataFrame(layout, "at int, shards int, blocks int, base int"))
     by = F.pmod(F.xxhash64("cls"), F.lit(1 << 40))
     data = routed.select("cls", "vec", "reach", F.col("leaf").alias("at"), by.alias("h")).join(plan, "at")
     data = data.select((F.col("base") + (F.col("h") % F.col("shards")) * F.col("blocks")).alias("first"), "blocks", "cls", "vec", "reach")
@@ -296,17 +309,16 @@ def nearest_pages(vectors: DataFrame, k: int = 10, factor: float = FACTOR, dims:
     merged = found.groupBy("cls").agg(F.flatten(F.collect_list("near")).alias("near"))
     worse_last = lambda a, b: F.when(a["s"] > b["s"], -1).when(a["s"] < b["s"], 1).when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)
     merged = merged.select("cls", F.slice(F.array_sort("near", worse_last), 1, k).alias("near"))
-    groups = classes.filter("pages > 1").select("vec", "cls")
+    members = live.select("page_id", "d1", "d2").join(classes.select("d1", "d2", "cls", "pages"), ["d1", "d2"]).select("page_id", "cls", "pages")
     places = Window.partitionBy("cls").orderBy("page_id")
-    copies = live.join(groups, "vec").select("cls", "page_id")
-    heads = copies.withColumn("p", F.row_number().over(places)).filter(F.col("p") <= k + 1).groupBy("cls").agg(F.sort_array(F.collect_list("page_id")).alias("members"))
-    members = live.join(classes.select("vec", "cls"), "vec").select("page_id", "cls")
+    heads = members.filter("pages > 1").select("cls", "page_id").withColumn("p", F.row_number().over(places)).filter(F.col("p") <= k + 1)
+    heads = heads.groupBy("cls").agg(F.sort_array(F.collect_list("page_id")).alias("members"))
     near = merged.select("cls", F.explode("near").alias("n")).select("cls", F.col("n.id").alias("other"), F.col("n.s").alias("s"))
     near = near.unionByName(heads.select("cls", F.col("cls").alias("other"), F.lit(1.0).alias("s")))
     near = near.join(heads.select(F.col("cls").alias("other"), "members"), "other", "left").select("cls", "s", F.coalesce("members", F.array("other")).alias("pages"))
     lists = near.groupBy("cls").agg(F.flatten(F.collect_list(F.transform("pages", lambda p: F.struct(F.col("s"), p.alias("id"))))).alias("near"))
     lists = lists.select("cls", F.slice(F.array_sort("near", worse_last), 1, 3 * k + 1).alias("near"))
-    out = members.join(lists, "cls").select("page_id", F.slice(F.filter("near", lambda n: n["id"] != F.col("page_id")), 1, k).alias("near"))
+    out = members.select("page_id", "cls").join(lists, "cls").select("page_id", F.slice(F.filter("near", lambda n: n["id"] != F.col("page_id")), 1, k).alias("near"))
     out = out.select("page_id", F.posexplode("near").alias("p", "n"))
     return out.select("page_id", (F.col("p") + 1).cast("int").alias("place"), F.col("n.id").alias("neighbour"), F.col("n.s").alias("similarity"))
 
