@@ -10,7 +10,8 @@ Plan
    one class, so copies are searched once however many there are.
 2. A routing tree is built on the driver from a bounded sample (``sample_rows``). Its
    vantage points are means of dense neighbourhoods and its thresholds lie in gaps
-   between distances where there are any, else at the median. Every vector is routed to
+   between distances where there are any, else at the median. One pass over all vectors
+   gives the exact ranges of the distances in its branches. Every vector is routed to
    its leaf; leaves larger than a shard are divided. The k-th neighbour in the sample
    bounds the distance of the true one from above, and so the leaves that a vector must
    visit.
@@ -25,6 +26,7 @@ Plan
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sillar.session import cut, shuffle_width
+from sillar.session import cut, default_parallelism, shuffle_width
 
 #: Pruning is relaxed by this factor; 1 is exact.
 FACTOR = 4.0
@@ -42,6 +44,8 @@ QUERY_ROWS = 16_384
 LEAF_ROWS = 512
 MIN_GAP = 0.04
 SLACK = np.float32(1e-3)
+#: Up to so many, tasks are placed by a table in the plan, else in turn.
+FEW_TASKS = 10_000
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -148,6 +152,22 @@ class VantageTree:
             steps = [(outer, rows, np.maximum(bounds, np.maximum(e - d, d_low - f))), (inner, rows, np.maximum(bounds, np.maximum(a - d, d_low - b)))]
             todo += steps if np.median(d) <= radius else steps[::-1]
 
+    def observe(self, queries: np.ndarray, seen: dict[tuple[int, int], tuple[float, float]]) -> None:
+        """Widens ``seen``, per node and side (0 inner, 1 outer), by the distances of these rows."""
+        to_centres = distances(queries, self.matrix) if len(self.matrix) else np.zeros((len(queries), 0), dtype=np.float32)
+        todo = [(self.root, np.arange(len(queries)))]
+        while todo:
+            node, rows = todo.pop()
+            if node < 0 or not len(rows):
+                continue
+            radius, *branches = self.nodes[node]
+            d = to_centres[rows, node]
+            for side, inside in enumerate((d <= radius, d > radius)):
+                if inside.any():
+                    lo, hi = seen.get((node, side), (9.0, -1.0))
+                    seen[node, side] = min(lo, float(d[inside].min())), max(hi, float(d[inside].max()))
+                    todo.append((branches[side], rows[inside]))
+
     def own_leaf(self, queries: np.ndarray) -> np.ndarray:
         out = np.zeros(len(queries), dtype=np.int32)
         for leaf, rows, _ in self.descend(queries, None, 1.0):
@@ -160,29 +180,38 @@ def search_block(tree: VantageTree, raw: np.ndarray, norms: np.ndarray, ids: np.
     places that stay empty have similarity -2."""
     n = len(q_raw)
     queries = (q_raw / q_norms[:, None]).astype(np.float32)
-    best = np.full((n, k), -2.0, dtype=np.float64)
-    found = np.full((n, k), -1, dtype=np.int64)
+    best = np.full((n, k), -2.0, dtype=np.float32)
+    found = np.full((n, k), -1, dtype=np.int64)  # rows of the tree's points
+    kth = np.full(n, -2.0, dtype=np.float32)
     tau = np.full(n, np.inf, dtype=np.float32) if limits is None else limits.astype(np.float32).copy()
+    places = {int(i): r for r, i in enumerate(ids)}
+    own = np.array([places.get(int(i), -1) for i in q_ids], dtype=np.int64)
     for leaf, rows, _ in tree.descend(queries, tau, factor):
         at = tree.leaves[leaf]
-        sims = (q_raw[rows] @ raw[at].T).astype(np.float64)
-        sims /= q_norms[rows, None]
-        sims /= norms[at][None]
-        sims[q_ids[rows, None] == ids[at][None]] = -2.0
+        sims = queries[rows] @ tree.points[at].T
+        sims[own[rows, None] == at[None]] = -2.0
+        better = np.flatnonzero((sims.max(axis=1) > kth[rows]))
+        if not len(better):
+            continue
+        rows, sims = rows[better], sims[better]
         pool = np.concatenate([best[rows], sims], axis=1)
-        names = np.concatenate([found[rows], np.broadcast_to(ids[at], (len(rows), len(at)))], axis=1)
-        top = np.argpartition(-pool, k - 1, axis=1)[:, :k] if pool.shape[1] > k else np.broadcast_to(np.arange(k), (len(rows), k))
+        top = np.argpartition(-pool, k - 1, axis=1)[:, :k]
         best[rows] = np.take_along_axis(pool, top, axis=1)
-        found[rows] = np.take_along_axis(names, top, axis=1)
-        worst = best[rows].min(axis=1)
+        found[rows] = np.where(top < k, np.take_along_axis(found[rows], np.minimum(top, k - 1), axis=1), at[np.maximum(top - k, 0)])
+        worst = kth[rows] = best[rows].min(axis=1)
         full = worst > -2.0
-        reach = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * worst[full])) + 1e-4
+        reach = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * worst[full])) + 1e-3
         tau[rows[full]] = np.minimum(tau[rows[full]], reach)
-    short = np.flatnonzero(best.min(axis=1) == -2.0)
+    found[best <= -2.0] = -1
+    # the similarities that are given come from exact dot products
+    exact = np.einsum("id,ikd->ik", q_raw, raw[np.maximum(found, 0)]).astype(np.float64) / q_norms[:, None] / norms[np.maximum(found, 0)]
+    exact[found < 0] = -2.0
+    names = np.where(found < 0, -1, ids[np.maximum(found, 0)])
+    short = np.flatnonzero((found < 0).any(axis=1))
     if factor > 1.0 and len(short) and len(raw) > k:  # pruned too much to fill the places
-        found[short], best[short] = search_block(tree, raw, norms, ids, q_raw[short], q_norms[short], q_ids[short], k, 1.0)
-    order = np.lexsort((found, -best), axis=1)
-    return np.take_along_axis(found, order, axis=1), np.take_along_axis(best, order, axis=1)
+        names[short], exact[short] = search_block(tree, raw, norms, ids, q_raw[short], q_norms[short], q_ids[short], k, 1.0)
+    order = np.lexsort((names, -exact), axis=1)
+    return np.take_along_axis(names, order, axis=1), np.take_along_axis(exact, order, axis=1)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -194,6 +223,19 @@ def _matrix(column: pa.Array) -> np.ndarray:
 ROUTED = "cls long, vec array<tinyint>, leaf int, reach float, visits array<int>"
 
 
+def _observe(tree: VantageTree):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[int, int], tuple[float, float]] = {}
+        for b in batches:
+            if b.num_rows:
+                tree.observe(unit(_matrix(b.column("vec")).astype(np.float32)), seen)
+        if seen:
+            rows = [(node, side, lo, hi) for (node, side), (lo, hi) in seen.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["node", "side", "lo", "hi"])
+
+    return run
+
+
 def _route(tree: VantageTree, k: int, factor: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -284,15 +326,29 @@ def nearest_pages(vectors: DataFrame, k: int = 10, factor: float = FACTOR, dims:
     picked = classes.filter(F.pmod(F.xxhash64(F.col("cls"), F.lit(11)), F.lit(1 << 30)) <= int(share * (1 << 30))).select("vec").limit(sample_rows).toArrow()
     sample = _matrix(picked.column("vec").combine_chunks() if picked.num_rows else pa.array([], pa.list_(pa.int8()))) if picked.num_rows else np.zeros((0, dims), dtype=np.int8)
     tree = VantageTree(unit(sample.astype(np.float32)), max(64, int(shard_rows * len(sample) / total)), whole=False)
+    # exact ranges of the distances in each branch, two rows per node of the tree
+    spans = classes.select("vec").mapInArrow(_observe(tree), "node long, side long, lo double, hi double").groupBy("node", "side").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()
+    for r in spans:
+        span = list(tree.ranges[r["node"]])
+        span[2 * r["side"] : 2 * r["side"] + 2] = r["lo"], r["hi"]
+        tree.ranges[r["node"]] = tuple(span)
     routed = cut(classes.repartition(max(shuffle_width(spark), -(-total // shard_rows)), "cls").select("cls", "vec").mapInArrow(_route(tree, k, factor), ROUTED))
     # divide what is larger than a shard; one row per leaf and one per visited leaf on the driver
     sizes = {r["leaf"]: r["count"] for r in routed.groupBy("leaf").count().collect()}
     asked = {r["at"]: r["count"] for r in routed.select(F.explode("visits").alias("at")).groupBy("at").count().collect()}
-    tasks, layout = 0, []
+    tasks, layout, weights = 0, [], []
     for leaf in sorted(sizes):
         shards, blocks = -(-sizes[leaf] // shard_rows), -(-asked.get(leaf, 0) // query_rows)
         layout += [(leaf, shards, blocks, tasks)]
+        weights += [sizes[leaf] / shards + asked.get(leaf, 0) / max(1, blocks)] * (shards * blocks)
         tasks += shards * blocks
+    # small ones share a partition, the largest placed first where there is least
+    width = max(1, min(tasks, max(2 * default_parallelism(spark), -(-int(sum(weights)) // (shard_rows + query_rows)))))
+    loads, bins = [(0.0, i) for i in range(width)], [0] * tasks
+    for t in sorted(range(tasks), key=lambda t: -weights[t]):
+        load, i = heapq.heappop(loads)
+        bins[t] = i
+        heapq.heappush(loads, (load + weights[t], i))
     # one row per leaf, and there are no more leaves than rows in the sample
     plan = F.broadcast(spark.createDataFrame(layout, "at int, shards int, blocks int, base int"))
     by = F.pmod(F.xxhash64("cls"), F.lit(1 << 40))
@@ -303,8 +359,8 @@ def nearest_pages(vectors: DataFrame, k: int = 10, factor: float = FACTOR, dims:
     asks = asks.select("*", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
     asks = asks.select((F.col("base") + F.col("shard") * F.col("blocks") + F.col("h") % F.col("blocks")).alias("task"), F.lit(True).alias("asks"), "cls", "vec", "reach")
     both = data.unionByName(asks).withColumn("task", F.col("task").cast("int"))
-    width = max(1, tasks)
-    found = both.repartitionById(width, F.col("task")).mapInArrow(_search(k, factor), FOUND)
+    placed = F.get(F.lit(bins) if bins else F.array(F.lit(0)), F.col("task")) if tasks <= FEW_TASKS else F.pmod("task", F.lit(width))
+    found = both.repartitionById(width, placed.cast("int")).mapInArrow(_search(k, factor), FOUND)
     # best k per class, then classes to members
     merged = found.groupBy("cls").agg(F.flatten(F.collect_list("near")).alias("near"))
     worse_last = lambda a, b: F.when(a["s"] > b["s"], -1).when(a["s"] < b["s"], 1).when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)
