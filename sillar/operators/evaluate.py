@@ -40,6 +40,11 @@ def citation_warning(answer: Column, titles: Column) -> Column:
     return F.when(all_invented(answer, titles), text)
 
 
+def sources_line(titles: Column) -> Column:
+    """The distinct source titles in order, or "ninguna"."""
+    return F.coalesce(F.nullif(F.array_join(F.array_sort(F.array_distinct(F.coalesce(titles, F.array().cast("array<string>")))), ", "), F.lit("")), F.lit("ninguna"))
+
+
 def answerable(items: DataFrame, pages: DataFrame) -> DataFrame:
     """Items that expect no article, or at least one that exists."""
     some = items.select("qid", F.explode("articles").alias("title")).join(pages.select("title").distinct(), "title", "left_semi").select("qid").distinct()

@@ -32,6 +32,22 @@ def quantize(vec: Column, dims: int) -> Column:
     return F.transform(normalised(vec, dims), lambda x: F.greatest(F.lit(-127.0), F.least(F.lit(127.0), F.rint(x * 127.0))).cast("tinyint"))
 
 
+def stored_dims(vectors: DataFrame) -> int | None:
+    """The length of the stored vectors, by the first that is found; None without any."""
+    row = vectors.filter("vec is not null").select(F.size("vec").alias("n")).first()
+    return row["n"] if row else None
+
+
+def of_dims(vectors: DataFrame, dims: int) -> DataFrame:
+    """Vectors of the configured length; others are passed over."""
+    return vectors.filter(F.size("vec") == dims)
+
+
+def newer_than(vectors: DataFrame, last_id: int) -> DataFrame:
+    """What an index that has read up to ``last_id`` has still to read, in order."""
+    return vectors.filter(F.col("vec_id") > last_id).orderBy("vec_id")
+
+
 def live(vectors: DataFrame, pages: DataFrame) -> DataFrame:
     """Vectors of pages that exist."""
     return vectors.join(pages.select("page_id").distinct(), "page_id", "left_semi")

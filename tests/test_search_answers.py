@@ -113,6 +113,15 @@ def test_vectors(spark):
     assert vectors.exact_top_k(asks.filter("qid < 0"), quantized, 5).count() == 0
 
 
+def test_index_refresh(spark):
+    df = spark.createDataFrame([(3, [1, 2]), (1, None), (2, [1, 2]), (4, [1])], "vec_id long, vec array<tinyint>")
+    assert vectors.stored_dims(df.filter("vec_id < 3")) == 2 and vectors.stored_dims(df.filter("vec_id = 1")) is None
+    assert sorted(r.vec_id for r in vectors.of_dims(df, 2).collect()) == [2, 3]
+    assert [r.vec_id for r in vectors.newer_than(df, 1).collect()] == [2, 3, 4]
+    lines = spark.createDataFrame([(["b", "a", "b"],), ([],), (None,)], "t array<string>").select(evaluate.sources_line(F.col("t")).alias("x"))
+    assert [r.x for r in lines.collect()] == ["a, b", "ninguna", "ninguna"]
+
+
 def test_embedding_queue(spark):
     pages = spark.createDataFrame([(1, "A", 10), (2, "B", 99), (3, "C", None), (4, "D", 50)], "page_id long, title string, size int")
     have = spark.createDataFrame([(4,)], "page_id long")
