@@ -98,6 +98,7 @@ def terms_of(queries: DataFrame) -> DataFrame:
 
 def scored(index: Index, terms: DataFrame) -> DataFrame:
     """``(qid, chunk_id, page_id, score, matched, n_terms)`` of every row that matches any term of a query."""
+    terms = cut(terms)  # named three times, and its source may be large
     wanted = terms.select("term").distinct()
     longest = wanted.agg(F.coalesce(F.max(F.length("term")), F.lit(0)).alias("longest"))
     vocabulary = index.postings.select("word").distinct().crossJoin(F.broadcast(longest))  # one row
