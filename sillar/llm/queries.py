@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sillar.llm import conversations, mixing, nearest, packing, pair_defects, residue, splitting
 from sillar.sources.tables import table
@@ -23,7 +24,8 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
-    return nearest.nearest_pages(table(spark, folder, "page_vectors"))
+    found = nearest.nearest_pages(table(spark, folder, "page_vectors"))
+    return found.withColumn("similarity", F.round("similarity", 9))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,6 +80,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # Unicode white space inside a character class of DuckDB's regular expressions.
 _WS = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
+# All pairs: only for small tables, where the search is exact as well.
+_LIVE = """
+WITH live AS (
+  SELECT page_id, vec::DOUBLE[] AS v FROM (
+    SELECT page_id, vec FROM page_vectors WHERE page_id IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY vec_id DESC) = 1)
+  WHERE len(vec) = 384 AND list_max(list_transform(vec, lambda x: abs(x::INTEGER))) > 0),
+pairs AS (SELECT a.page_id AS a, b.page_id AS b, round(list_cosine_similarity(a.v, b.v), 9) AS s FROM live a JOIN live b ON a.page_id <> b.page_id),
+near AS (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS place FROM pairs QUALIFY place <= 10)"""
+
 _TURNS = r"""
 WITH alike AS (
   SELECT chat_id, role, content, created_at, min(message_id) AS message_id
@@ -105,17 +117,8 @@ def oracle_sql() -> dict[str, str]:
               SELECT chunk_id, length(regexp_replace(text, '^[{_WS}]+|[{_WS}]+$', '', 'g')) AS n,
                      list_max(list_transform(regexp_extract_all(text, '[^{_WS}]+'), lambda x: length(x))) AS longest
               FROM chunks) WHERE n > 1500 GROUP BY chunk_id""",
-        "p2_found": """
-            WITH live AS (
-              SELECT page_id, vec::DOUBLE[] AS v FROM (
-                SELECT page_id, vec FROM page_vectors WHERE page_id IS NOT NULL
-                QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY vec_id DESC) = 1)
-              WHERE len(vec) = 384 AND list_max(list_transform(vec, lambda x: abs(x::INTEGER))) > 0),
-            near AS (
-              SELECT a.page_id AS a, b.page_id AS b, list_cosine_similarity(a.v, b.v) AS s
-              FROM live a JOIN live b ON a.page_id <> b.page_id
-              QUALIFY row_number() OVER (PARTITION BY a.page_id ORDER BY s DESC, b.page_id) <= 10)
-            SELECT DISTINCT least(a, b) AS page_a, greatest(a, b) AS page_b FROM near WHERE s >= 0.8""",
+        "p2_found": _LIVE + " SELECT DISTINCT least(a, b) AS page_a, greatest(a, b) AS page_b FROM near WHERE s >= 0.8",
+        "p2_neighbours": _LIVE + " SELECT a AS page_id, place, b AS neighbour, s AS similarity FROM near",
         "p3_found": _TURNS
         + """SELECT chat_id FROM (SELECT chat_id FROM messages UNION SELECT chat_id FROM chats)
              WHERE chat_id IS NOT NULL AND chat_id NOT IN (SELECT chat_id FROM kept)""",
