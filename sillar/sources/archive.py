@@ -48,9 +48,9 @@ def archive_date(meta_date: str | None, files: DataFrame | None = None) -> float
 
 
 class _Range(InputPartition):
-    def __init__(self, start: int, end: int):
-        super().__init__((start, end))
-        self.start, self.end = start, end
+    def __init__(self, start: int, entries: int, offset: int):
+        super().__init__((start, entries, offset))
+        self.start, self.entries, self.offset = start, entries, offset
 
 
 class _JsonReader(DataSourceReader):
@@ -58,17 +58,19 @@ class _JsonReader(DataSourceReader):
         self.path, self.step = path, step
 
     def partitions(self) -> list[InputPartition]:
-        with open(self.path, encoding="utf-8") as lines:
-            count = sum(1 for _ in lines)
-        return [_Range(s, min(s + self.step, count)) for s in range(0, count, self.step)] or [_Range(0, 0)]
+        """Ranges of entries with the byte each begins at, so that a task reads its own part only."""
+        ranges, count, at = [], 0, 0
+        with open(self.path, "rb") as lines:
+            for line in lines:
+                if count % self.step == 0:
+                    ranges.append((count, at))
+                count, at = count + 1, at + len(line)
+        return [_Range(start, self.step, offset) for start, offset in ranges] or [_Range(0, 0, 0)]
 
     def read(self, partition: _Range) -> Iterator[tuple]:
-        with open(self.path, encoding="utf-8") as lines:
-            for i, line in enumerate(lines):
-                if i >= partition.end:
-                    break
-                if i < partition.start:
-                    continue
+        with open(self.path, "rb") as lines:
+            lines.seek(partition.offset)
+            for i, line in zip(range(partition.start, partition.start + partition.entries), lines):
                 try:
                     e = json.loads(line)
                     yield (i, e.get("path"), e["title"], e.get("mime"), e.get("html"), e.get("target"))

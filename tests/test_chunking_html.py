@@ -63,6 +63,10 @@ def test_archive(spark, tmp_path):
     spark.dataSource.register(JsonArchive)
     entries = spark.read.format("json_archive").option("range", "3").load(str(path))
     assert entries.rdd.getNumPartitions() == 4 and entries.count() == 9
+    assert sorted(r.entry_id for r in entries.collect()) == list(range(9))
+    empty = tmp_path / "empty.jsonl"
+    empty.write_text("")
+    assert spark.read.format("json_archive").load(str(empty)).count() == 0
     assert sorted(r.title for r in articles(entries).collect()) == ["Quetzal", "Tikal"]
     assert list(map(tuple, redirects(entries).collect())) == [("mona lisa", "La Gioconda")]
     assert archive_date("1970-01-02") == 86400.0 and archive_date(None) is None
