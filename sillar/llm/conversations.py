@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sillar.llm.plaintext import blank
 from sillar.session import cut, shuffle_width
 
 # Spellings of a speaker's role, after trimming and lower-casing.
@@ -44,14 +45,6 @@ def speaker(role: Column) -> Column:
     return F.when(r.isin(USER_ROLES), USER).when(r.isin(ASSISTANT_ROLES), ASSISTANT).when(~r.isin(NOTE_ROLES), UNREADABLE)
 
 
-def blank(text: Column) -> Column:
-    """Null, or no letter or digit outside square brackets (nested up to three deep)."""
-    bare = F.coalesce(text, F.lit(""))
-    for _ in range(3):
-        bare = F.regexp_replace(bare, r"\[[^\[\]]*\]", " ")
-    return ~bare.rlike(r"[\p{L}\p{N}]")
-
-
 def turns(messages: DataFrame, texts: bool) -> DataFrame:
     """One row per message: copies folded, notes set aside, speaker read.
 
@@ -170,7 +163,8 @@ def dropped_chats(messages: DataFrame, chats: DataFrame) -> DataFrame:
     message are dropped. Rows without ``chat_id`` belong to no chat. Empty tables
     give no rows; columns besides the named ones are not read.
     """
-    _, sessions = sessions_of(number_runs(in_order(turns(messages, texts=False))))
+    # written once: runs are named by their partition, whose bounds a second reading could draw elsewhere
+    _, sessions = sessions_of(cut(number_runs(in_order(turns(messages, texts=False)))))
     kept = sessions.filter("sound").select("chat_id")
     every = messages.select("chat_id").union(chats.select("chat_id")).filter(F.col("chat_id").isNotNull()).distinct()
     return every.join(kept, "chat_id", "left_anti")

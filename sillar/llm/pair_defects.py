@@ -35,44 +35,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sillar.llm.conversations import ASSISTANT, USER, in_order, turns
-from sillar.llm.plaintext import plain
+from sillar.llm.plaintext import is_blank, plain
 from sillar.session import cut
 
 EMPTY, TRUNCATED, REFUSAL, COPIED, LANGUAGE = "empty", "truncated", "refusal", "copied", "language"
 
 # ---------------------------------------------------------------- plain text
 
-_SQUARE = re.compile(r"[\[\]]")
 _BRACKETED = re.compile(r"\[[^\[\]]*\]")
 _QUOTED = re.compile(r"«[^«»]*»|“[^“”]*”|„[^„“”]*[“”]|\"[^\"]*\"|‘[^‘’\n]{3,}’")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _TRAIL = re.compile(r"[\s​-‏⁠﻿]+$")
 
 
-def outside_brackets(text: str) -> str:
-    """The text with a space for each outermost pair of square brackets; unmatched ones stay."""
-    opened: list[int] = []
-    spans: list[tuple[int, int]] = []
-    for m in _SQUARE.finditer(text):
-        if m.group() == "[":
-            opened.append(m.start())
-        elif opened:
-            start = opened.pop()
-            while spans and spans[-1][0] > start:
-                spans.pop()
-            spans.append((start, m.end()))
-    out, at = [], 0
-    for start, end in spans:
-        out += [text[at:start], " "]
-        at = end
-    return "".join(out) + text[at:]
-
-
-def is_blank(text: str | None) -> bool:
-    """Null, or no letter or digit outside square brackets."""
-    return not text or not any(c.isalnum() for c in (outside_brackets(text) if "]" in text else text))
-
-
 def without_quotations(text: str) -> str:
     return _QUOTED.sub(" ", text)
 
@@ -83,41 +58,78 @@ def without_quotations(text: str) -> str:
 LABELS = frozenset("pregunta respuesta preguntas preguntaste preguntaba me tu su la has preguntado quieres saber es usuario asistente question answer user assistant you asked your ask consulta pergunta resposta perguntou reponse demande q a p r".split())
 
 
-#: Product of lengths up to which single tiles are laid.
-TILE_WORK = 250_000
+class Runs:
+    """A suffix automaton over the words of a pattern: the longest run that ends at each word of
+    a text is found in one pass, whatever the lengths."""
+
+    def __init__(self, pattern: list[str]):
+        self.step: list[dict[str, int]] = [{}]
+        self.link, self.length, self.first_end = [-1], [0], [-1]
+        last = 0
+        for at, word in enumerate(pattern):
+            new = self._state(self.length[last] + 1, at)
+            p = last
+            while p >= 0 and word not in self.step[p]:
+                self.step[p][word] = new
+                p = self.link[p]
+            if p < 0:
+                self.link[new] = 0
+            else:
+                q = self.step[p][word]
+                if self.length[q] == self.length[p] + 1:
+                    self.link[new] = q
+                else:
+                    copy = self._state(self.length[p] + 1, self.first_end[q])
+                    self.step[copy], self.link[copy] = dict(self.step[q]), self.link[q]
+                    while p >= 0 and self.step[p].get(word) == q:
+                        self.step[p][word] = copy
+                        p = self.link[p]
+                    self.link[q] = self.link[new] = copy
+            last = new
+
+    def _state(self, length: int, end: int) -> int:
+        self.step.append({})
+        self.link.append(0)
+        self.length.append(length)
+        self.first_end.append(end)
+        return len(self.step) - 1
+
+    def longest(self, text: list[str], least: int) -> list[tuple[int, int, int]]:
+        """``(length, start in pattern, start in text)`` of the runs that cannot be made longer."""
+        out, state, n = [], 0, 0
+        before = (0, 0)
+        for j, word in enumerate(text):
+            while state and word not in self.step[state]:
+                state = self.link[state]
+                n = self.length[state]
+            if word in self.step[state]:
+                state, n = self.step[state][word], n + 1
+            if j and n <= before[0] and before[0] >= least:
+                out.append((before[0], self.first_end[before[1]] - before[0] + 1, j - before[0]))
+            before = (n, state)
+        if text and before[0] >= least:
+            out.append((before[0], self.first_end[before[1]] - before[0] + 1, len(text) - before[0]))
+        return out
 
 
 def tiles(pattern: list[str], text: list[str], least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: the longest common runs of words first, each position of
     ``text`` covered once. Unlike for plagiarism scores a stretch of ``pattern`` may
     cover several stretches of ``text``, so a question said twice is covered twice.
-    Gives ``(start in pattern, start in text, length)``."""
-    starts: dict[tuple[str, ...], list[int]] = {}
-    for i in range(len(pattern) - least + 1):
-        starts.setdefault(tuple(pattern[i : i + least]), []).append(i)
-    runs = []
-    for j in range(len(text) - least + 1):
-        for i in starts.get(tuple(text[j : j + least]), ()):
-            if i and j and pattern[i - 1] == text[j - 1]:
-                continue  # inside a longer run
-            k = least
-            while i + k < len(pattern) and j + k < len(text) and pattern[i + k] == text[j + k]:
-                k += 1
-            runs.append((k, i, j))
-    runs.sort(key=lambda r: (-r[0], r[2], r[1]))
+    Gives ``(start in pattern, start in text, length)``. One method at every length."""
+    runs = Runs(pattern).longest(text, least)
+    runs.sort(key=lambda r: (-r[0], r[2]))
     taken = bytearray(len(text))
     out = []
     for k, i, j in runs:
-        while k >= least:  # what longer tiles left of this run
-            while k and taken[j]:
-                i, j, k = i + 1, j + 1, k - 1
-            free = 0
-            while free < k and not taken[j + free]:
-                free += 1
-            if free >= least:
-                taken[j : j + free] = b"\1" * free
-                out.append((i, j, free))
-            i, j, k = i + free, j + free, k - free
+        at, end, shift = j, j + k, i - j
+        while (at := taken.find(0, at, end)) >= 0:  # what longer tiles left of this run
+            stop = taken.find(1, at, end)
+            stop = end if stop < 0 else stop
+            if stop - at >= least:
+                taken[at:stop] = b"\1" * (stop - at)
+                out.append((at + shift, at, stop - at))
+            at = stop
     return out
 
 
@@ -126,16 +138,6 @@ def _question_words(question: str) -> list[str]:
     return _WORD.findall(plain(question))
 
 
-def _covered(pattern: list[str], text: list[str], size: int) -> bytearray:
-    """Which words of ``text`` lie in a run of ``size`` words that ``pattern`` has too; in linear time."""
-    known = {tuple(pattern[i : i + size]) for i in range(len(pattern) - size + 1)}
-    out = bytearray(len(text))
-    for j in range(len(text) - size + 1):
-        if tuple(text[j : j + size]) in known:
-            out[j : j + size] = b"\1" * size
-    return out
-
-
 def only_repeats(question: str | None, answer: str) -> bool:
     """The answer's words are the question's, but for labels and bracketed references,
     and it says at least four fifths of the question."""
@@ -148,13 +150,10 @@ def only_repeats(question: str | None, answer: str) -> bool:
     known = set(q)
     if sum(w not in known for w in a) > 2:
         return False
-    if len(q) * len(a) > TILE_WORK:  # long texts: tiles of eight words or more, found by their runs
-        covered, said = _covered(q, a, min(8, len(q), len(a))), _covered(a, q, min(8, len(q), len(a)))
-    else:
-        covered, said = bytearray(len(a)), bytearray(len(q))
-        for i, j, k in tiles(q, a, min(2, len(q))):
-            covered[j : j + k] = b"\1" * k
-            said[i : i + k] = b"\1" * k
+    covered, said = bytearray(len(a)), bytearray(len(q))
+    for i, j, k in tiles(q, a, min(2, len(q))):
+        covered[j : j + k] = b"\1" * k
+        said[i : i + k] = b"\1" * k
     rest = [w for w, c in zip(a, covered) if not c]
     return all(w in LABELS for w in rest) and sum(said) >= 0.8 * len(q)
 
@@ -163,7 +162,7 @@ def only_repeats(question: str | None, answer: str) -> bool:
 
 # Function words and other frequent words, by language.
 FUNCTION_WORDS = {
-    "es": "el la los las un una unos unas del al de en y o que se su sus con por para como más pero fue es son está están hay no le lo les dos tres este esta ese esa desde hasta hacia entre según también cual cuales quien quién qué cuál cuándo dónde cómo cuántos aunque muy donde cuando tiene sobre ya sigue pese sin ni mi tu yo me te nos eso sur norte este oeste durante además parte dime háblame explícame cuéntame resume artículo favor fueron puede años llegó nació cierto unos hizo sido cada todo",
+    "es": "el la los las un una unos unas del al de en y o que se su sus con por para como más pero fue es son está están hay no le lo les dos tres este esta ese esa desde hasta hacia entre según también cual cuales quien quién qué cuál cuándo dónde cómo cuántos aunque muy donde cuando tiene sobre ya sigue pese sin ni mi tu yo me te nos eso sur norte este oeste durante además parte dime háblame explícame cuéntame resume artículo favor antes después nada todos fueron puede años llegó nació cierto unos hizo sido cada todo",
     "pt": "o a os as um uma uns umas do da dos das no na nos nas de em e ou que se seu sua com por para como mais mas foi é são está não há ao aos à às pelo pela este esta isso desde até entre segundo também qual quem onde quando quantos embora muito tem sobre já depois antes num numa ele ela perto longe fica ficam construiu conte fale diga resuma artigo história cidade vila chama nasceu fundou chegou têm quais meu sempre ainda vez",
     "en": "the a an of in on at and or that this these those is are was were be been by with for from to as it its which who whom what when where how why not no has have had after before about up most most they he she his her their there than into along you your i can do does did me tell near far town city history article bridge built called born many much year years only also between over",
     "fr": "le la les un une des du de en et ou que qui se sa son ses avec pour par comme plus mais fut est sont était pas ne au aux ce cette ces dans sur depuis entre selon aussi où quand combien il elle ils elles après avant l d qu c n s y à été je vous nous près loin ville histoire parlez dites quel quelle toujours encore très bien fait",
@@ -172,10 +171,38 @@ FUNCTION_WORDS = {
     "ca": "els uns unes dels als seu seva amb més però és són hi aquest aquesta fins també què quan on tot molt dins ser seves seus altres nosaltres",
     "nl": "de het een van in op en of dat dit is zijn was waren met voor door naar niet geen er hij zij ik wij hoe wat wie waar wanneer ook als nog zich over heeft aan bij uit om te",
 }
+# The same of further languages. Words they share with those above count for them only.
+FURTHER_WORDS = {
+    "sv": "och att det som en på är av för med den till inte om ett han men var jag de har från vi så kan när också eller hon efter under mot mycket bara där här vid ligger blev",
+    "da": "og at det som en på er af for med den til ikke om et han men var jeg de har fra vi så kan når også eller hun efter under mod meget kun hvor her ved blev ligger",
+    "no": "og at det som en på er av for med den til ikke om et han men var jeg de har fra vi så kan når også eller hun etter under mot mye bare hvor her ved ble ligger",
+    "fi": "ja on ei että se oli hän mutta kun myös joka ovat ole niin kuin tai sen mukaan sekä vain jos mitä tämä jälkeen vuonna ollut sitä",
+    "is": "og að er í á það sem til við var ekki um með en hann hún af frá eru þar fyrir hefur voru einnig eftir",
+    "pl": "i w na się nie z że do to jest o jak po co ale od za przez tak był była było oraz dla ma być są który która które tylko już jego jej przy leży",
+    "cs": "a v na se je že s z do o i jako pro ale za to byl byla bylo od po který která které jsou není jeho také nebo jen už podle při leží",
+    "hr": "i u na je se da su za od s ne koji koja koje što ali kao bio bila nije iz po ili grad nalazi",
+    "sl": "in je na se da so za od s ne ki pa kot ali bil bila ni iz po tudi leži mesto",
+    "ro": "și în de la cu pe nu este un o din care a fost pentru mai sunt se că ca sau ce dar după prin era au lui ei acest această între până orașul află",
+    "hu": "a az és hogy nem is egy van volt meg de ezt mint csak már vagy kell még azt után között város",
+    "tr": "ve bir bu da de için ile çok ne o gibi daha var olan olarak sonra kadar ama en her mi değil ise şehir yer alır",
+    "eu": "eta da du ez bat zen ere izan dira baino dute edo zuen hau bere egin dago nola zer hiria urte",
+    "gl": "unha unhas uns non máis tamén pero moi onde cando foi é á ao do da dos das súa seu cidade está ten",
+    "id": "dan yang di ke dari ini itu dengan untuk pada adalah tidak dalam akan oleh juga atau ada sudah telah saya kota",
+    "vi": "và là của có không được trong cho một những các người với này đã để khi từ cũng thành phố",
+    "eo": "la de kaj en estas ne al por ke kiu per sed kun pri estis urbo ankaŭ",
+    "et": "ja on ei et see oli ta ka kui oma aga mis või linn asub",
+    "lt": "ir yra kad su iš į buvo bet tai kaip jis ji nuo per ne miestas",
+    "lv": "un ir ka no ar uz bija bet tas kā par pilsēta arī",
+    "la": "et est non ad cum ut sed qui quae quod ex ab aut enim atque sunt esse eius erat urbs",
+}
 _BY_WORD: dict[str, list[str]] = {}
 for _lang, _words in FUNCTION_WORDS.items():
     for _w in set(_words.split()):
         _BY_WORD.setdefault(_w, []).append(_lang)
+_FURTHER: dict[str, list[str]] = {}
+for _lang, _words in FURTHER_WORDS.items():
+    for _w in set(_words.split()):
+        _FURTHER.setdefault(_w, []).append(_lang)
 # Letters that occur in one of the languages only, or nearly so.
 LETTERS = {"es": "ñ¿¡", "pt": "ãõ", "fr": "êœëîû", "de": "ßä", "ca": "ŀ"}
 
@@ -193,17 +220,23 @@ def script(text: str) -> str | None:
     for c, n in Counter(text).items():
         if c.isalpha():
             counts["LATIN" if c < "ɐ" else unicodedata.name(c, "?").split(" ")[0].split("-")[0]] += n
+    for kana in ("HIRAGANA", "KATAKANA"):
+        if counts.get(kana):  # Japanese writes three scripts at once
+            counts["JAPANESE"] += counts.pop(kana) + counts.pop("CJK", 0)
     return counts.most_common(1)[0][0] if counts else None
 
 
 def language_scores(text: str) -> dict[str, float]:
     """Per language, the weight of its function words; a word of several languages
-    counts little for each."""
-    scores = dict.fromkeys(FUNCTION_WORDS, 0.0)
+    counts little for each. What a further language shares weighs less there, but no
+    less in the others."""
+    scores = dict.fromkeys([*FUNCTION_WORDS, *FURTHER_WORDS], 0.0)
     low = text.lower()
     for word, n in Counter(_LETTERS_ONLY.findall(low)).items():
         for lang in (langs := _BY_WORD.get(word, ())):
             scores[lang] += n / len(langs) ** 1.5
+        for lang in (more := _FURTHER.get(word, ())):
+            scores[lang] += n / (len(langs) + 1 + 0.25 * (len(more) - 1)) ** 1.5
     for lang, letters in LETTERS.items():
         scores[lang] += 0.15 * min(3, sum(low.count(c) for c in letters))
     return scores
@@ -220,7 +253,12 @@ def language(text: str) -> str | None:
 
 
 def _best(scores: dict[str, float]) -> str | None:
-    (best, top), (_, second) = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:2]
+    """The language with the greatest score by a margin. Languages of the second list are
+    near to each other (Danish, Norwegian), so the margin is to those of the first."""
+    (best, top), (_, second) = sorted(((x, scores[x]) for x in FUNCTION_WORDS), key=lambda x: (-x[1], x[0]))[:2]
+    far, most = max(((x, scores[x]) for x in FURTHER_WORDS), key=lambda x: x[1])
+    if most >= 1.0 and most >= 1.25 * top + 0.1:
+        return far
     return None if top < 0.6 or top < 1.25 * second + 0.1 else best
 
 
@@ -243,10 +281,12 @@ def other_language(question: str | None, answer: str) -> bool:
     own = _best(answered)
     if own is None:
         return False
-    top = max(scores.values())
-    if top < 0.3 or answered[own] < 1.0:
+    top = max(scores[x] for x in FUNCTION_WORDS)
+    far = {x for x in FURTHER_WORDS if scores[x] >= 1.25 * top + 0.1}
+    if (top < 0.3 and not far) or answered[own] < 1.0:
         return False
-    return all(answered[x] < 0.6 * answered[own] for x, score in scores.items() if score >= 0.7 * top)
+    near = {x for x in FUNCTION_WORDS if scores[x] >= 0.7 * max(top, *(scores[x] for x in far))} if far else {x for x in FUNCTION_WORDS if scores[x] >= 0.7 * top}
+    return all(answered[x] < 0.6 * answered[own] for x in near | far)
 
 
 # ---------------------------------------------------------------- refusal
@@ -255,54 +295,72 @@ def other_language(question: str | None, answer: str) -> bool:
 # bracketed references. A refusal is any number of openings, one core, and then
 # nothing but closings.
 OPENINGS = [
-    r"lo siento( mucho)?", r"lo lamento", r"lamento \w+( \w+){0,5}", r"lamentablemente", r"desafortunadamente", r"por desgracia", r"disculp[ae]n?( las molestias)?", r"perdon[ae]?", r"mil perdones", r"uf+", r"ay", r"vaya", r"bueno", r"gracias por (tu|su|la) (pregunta|consulta|interes)",
+    r"lo siento( mucho)?", r"lo lamento", r"lamento (?!no )\w+( \w+){0,5}", r"lamentablemente", r"desafortunadamente", r"por desgracia", r"disculp[ae]n?( las molestias)?", r"perdon[ae]?", r"mil perdones", r"uf+", r"ay", r"vaya", r"bueno", r"gracias por (tu|su|la) (pregunta|consulta|interes)",
     r"como (un |una )?(asistente|modelo|ia|bot|inteligencia)( de| virtual| artificial| lenguaje| ia)*", r"pero", r"aunque", r"me temo que", r"sintiendolo mucho", r"en este (caso|momento)", r"de momento", r"por ahora", r"hoy por hoy", r"la verdad( es que)?", r"entiendo (tu|su|la) (pregunta|consulta)",
     r"i'?m (very |so |really )?sorry", r"i am (very |so )?sorry", r"sorry", r"unfortunately", r"i apologi[sz]e", r"as an? (ai|assistant|language model)( \w+){0,3}", r"but", r"i'?m afraid( that)?", r"thank you for (your|the) question", r"thanks for asking",
+    r"(te|le|os|les) pido (disculpas|perdon)", r"con (todo )?(el )?(debido )?respeto", r"sinceramente", r"francamente", r"my apologies", r"apologies", r"regrettably", r"honestly", r"with (all )?(due )?respect",
+    r"ho sento( molt)?", r"em sap greu", r"malauradament", r"s[ei]ntoo?( moito)?", r"desafortunadamente", r"por desgraza", r"het spijt me", r"spijtig genoeg", r"helaas", r"tyvarr", r"jag ar ledsen", r"forlat( mig)?", r"desv(ae|æ)rre", r"dessverre", r"beklager", r"undskyld",
+    r"niestety", r"przepraszam", r"przykro mi", r"bohuzel", r"omlouvam se", r"je mi lito", r"imi pare rau", r"din pacate", r"ne pare rau", r"maalesef", r"uzgunum", r"ozur dilerim", r"ne yaz[iı]k ki", r"barkatu", r"sentitzen dut", r"zoritxarrez", r"valitettavasti", r"pahoittelen", r"sajnos", r"sajnalom", r"maaf", r"sayangnya", r"к сожалению", r"извините", r"простите", r"жаль",
     r"desculp[ae]", r"lamento", r"infelizmente", r"mas", r"sinto muito", r"desole[e]?", r"je suis desolee?", r"malheureusement", r"mais", r"pardon", r"mi dispiace", r"purtroppo", r"ma", r"leider", r"es tut mir leid",
 ]
 CORES = [
     # Spanish: what the speaker cannot, will not or does not know
-    r"no (me |te |le |lo |la |os |les )?(puedo|podria|podre|pude|podemos|podriamos|quiero|querria|deseo|debo|deberia|sabria|se|sabemos|consigo|logro|alcanzo a|voy a|vamos a|acierto a)\b",
+    r"no (me |te |le |lo |la |os |les )?(puedo|podria|podre|pude|podemos|podriamos|quiero|querria|deseo|debo|deberia|sabria|se (?:que|como|cuando|cuantos?|donde|quien|cual|nada|responder|contestar|la respuesta|decirte)|sabemos|consigo|logro|alcanzo a|voy a|vamos a|acierto a)\b",
     r"no (me |nos )?(es|sera|seria|resulta|fue|ha sido) (posible|permitido|facil|viable)",
     r"no (me |nos )(esta|es) (permitid[oa]|dado|autorizad[oa])", r"no (me|nos) (corresponde|compete|permiten|consta)", r"(no estoy|no estamos) (autorizad\w+|en condiciones|en disposicion|capacitad\w+|segur\w+|facultad\w+|al tanto)",
-    r"(me|nos) (es|sera|seria|resulta) (imposible|dificil)", r"(me|nos) (temo|tememos) que", r"prefiero (no|callar|abstenerme)", r"preferiria no", r"me abstengo", r"declino", r"rehuso", r"me niego",
+    r"(me|nos) (es|sera|seria|resulta) (imposible|dificil)", r"(me|nos) (temo|tememos) que", r"prefiero (no|callar|abstenerme|guardar silencio|omitir|declinar)", r"preferiria no", r"me abstengo", r"declino", r"rehuso", r"me niego",
     r"(no )?(tengo|tenemos|dispongo|disponemos|cuento|contamos|poseo) (con |de )?(ningun\w* |suficientes? |mas )?(dat\w+|informacion\w*|elemento\w*|referencia\w*|fuente\w*|detalle\w*|articulo\w*|texto\w*|registro\w*|respuesta\w*|conocimiento\w*|noticia\w*|constancia|documento\w*|acceso|idea|pista\w*|contexto|material\w*|forma|manera|modo|nada)",
     r"(carezco|carecemos) de", r"(me|nos) faltan?", r"desconozco", r"desconocemos", r"ignoro\b", r"(no|ni) (encontre|encuentro|encontramos|he encontrado|hemos encontrado|hallo|halle|he hallado|veo|vi|he visto|localizo|localice|hay|existe|existen|aparece|aparecen|consta|constan|figura|figuran|se menciona|se encuentra|se encontro|se indica|se dice|se especifica|se sabe) ",
     r"sin (informacion|datos|referencias|noticias|detalles|elementos|resultados)", r"(los|las|mis) (articulos|textos|fuentes|fragmentos|documentos|paginas)( que \w+)?( consultad[oa]s| disponibles| proporcionad[oa]s| a mi alcance)? no (me |nos )?(dicen|mencionan|contienen|incluyen|hablan|indican|aclaran|recogen|tratan|permiten|traen|bastan|explican|ofrecen)",
     r"(ningun[oa]?|nada) (de |en )?(los|las|mis|el|la)? ?(articulo\w*|texto\w*|fuente\w*|fragmento\w*|documento\w*|pagina\w*)", r"(ese|este|el|esa|esta|la|tal) (dato|informacion|tema|asunto|pregunta|consulta|cuestion|detalle) (no|queda fuera|escapa|excede|sobrepasa)", r"(eso|esto) (no (figura|consta|aparece|esta|lo)|queda fuera|escapa|excede)",
     r"(tendrias|tendria|deberias|deberia|habria|habras) (que |de )?(consultar|buscar|acudir|preguntar|mirar)", r"aqui no (se|hay|figura|aparece|consta|tengo|encuentro)", r"en (la|esta|los|mis|estos) (wiki|copia|copia local|enciclopedia|textos|articulos|fuentes|base)( \w+){0,2} no (hay|se|figura|aparece|consta|encuentro|encontre|tengo)", r"(queda|esta|cae) fuera de (mi|mis|nuestro)", r"(supera|excede|escapa a) (mi|mis)",
     r"la (wiki|enciclopedia|copia|base)( \w+){0,2} no (contiene|incluye|menciona|dice|tiene|recoge|trae|habla)",
+    r"me veo (obligad[oa]|forzad[oa]|en la (obligacion|necesidad)) (a |de )?(no |declinar|rechazar|abstenerme|callar)", r"(tengo que|debo|he de|voy a|quiero|prefiero) (no |declinar|rechazar|abstenerme|callar|omitir|evitar)", r"(yo )?paso( palabra)?$", r"paso de (responder|contestar|opinar|hablar|esta|esa|esto|eso|la pregunta)", r"sin comentarios?$", r"(eso|esto|lo) (ignoro|desconozco)", r"lo (ignoro|desconozco)", r"ni idea", r"mejor (no|lo dejamos|callo)", r"me reservo", r"rechazo (responder|contestar|la|esta|esa|dar)", r"imposible (responder|contestar|saber|decir|ayudar|dar|precisar)",
+    r"no (te lo |se lo |os lo |te |le |os |les |lo |la )?(respond|contest|di|ayud|d|facilit|revel|habl|opin|entr|coment|aclar|entrar|contar|explicar)[aei]?re(mos)?\b", r"(sobre|acerca de|de) (eso|esto|ell[oa]|(ese|este|esa|esta|tal) \w+) (no|nada|prefiero|mejor)", r"nada (puedo|podemos|se|tengo|consta|hay) ", r"(lamento|siento) (mucho )?no (poder|tener|saber|disponer|haber)", r"no (tengo|tenemos) (permitido|permiso|autorizacion)", r"no (soy|somos) quien(es)? para", r"no (esta|queda|entra) (en|a|dentro de) (mi|mis|nuestr[oa]s?) ", r"no hay (forma|manera|modo) (de|en que) (yo )?(saber|responder|contestar|ayudar|decir)", r"(quisiera|querria|me gustaria|ojala)( \w+){0,6} no (puedo|es posible|se)", r"no (procede|ha lugar) (responder|contestar|que)", r"(es|esa|esta) (una )?(pregunta|cuestion|consulta|informacion) (es )?(que |la que )?(no|excede|escapa|confidencial|reservada)",
     # English
+    r"i('?d| would) (rather|prefer) not", r"i('?d| would) (prefer|like) to (pass|abstain|skip)", r"i (refuse|must refuse|will pass|abstain|won'?t be|must (politely )?(decline|refuse|abstain))", r"i'?ll (pass|have to (pass|decline))", r"(no comment|pass|no idea|not sure)$", r"(it|that|this) (is|was)(n'?t| not) (possible|something i|available|covered|mentioned)", r"(that|this|it)('s| is) (not )?(something i|outside|beyond|confidential)", r"not (something|able|in a position)", r"we (cannot|can'?t|are unable|do not|don'?t|have no)", r"i('?m| am) (not |un)(sure|certain|aware|authori[sz]ed|able)", r"i never", r"nothing (in|is|was) ",
     r"i (do not|don'?t|cannot|can'?t|can not|could not|couldn'?t|am unable|'?m unable|am not able|'?m not able|won'?t|will not|would rather not|prefer not|have no|lack|found no|did not find|didn'?t find|am not allowed|'?m not allowed|am not permitted|must decline|have to decline|decline)", r"(there is|there'?s) no (information|data|mention|record)", r"no (information|data) (is |was |about |on |could )", r"(the|these|my) (articles|texts|sources|documents)( \w+){0,3} (do not|don'?t|does not)", r"(that|this) is (beyond|outside)", r"unable to",
     # Portuguese, French, Italian, German
     r"nao (posso|consigo|sei|quero|tenho|temos|disponho|encontrei|encontro|ha (informac|dados|nada)|me e|estou|devo|poderia|saberia)", r"(desconheco|careco de)", r"(os|as) (artigos|textos|fontes)( \w+){0,3} nao", r"(esse|este) dado nao",
     r"je (ne|n')", r"je n", r"(il n'?y a|aucune?) (pas |aucune |d')?(information|donnee|mention)", r"les (articles|textes|sources)( \w+){0,3} ne",
-    r"non (posso|so|ho trovato|dispongo|ho (informazioni|dati)|sono in grado|e possibile|ci sono informazioni)", r"ich (kann|weiss|habe|darf|mochte) (\w+ ){0,4}(nicht|keine)",
+    r"non (posso|so|ho trovato|dispongo|ho (informazioni|dati)|sono in grado|e possibile|ci sono informazioni)", r"ich (kann|weiss|weiß|habe|darf|mochte|will|werde|bin) (\w+ ){0,6}(nicht|keine)", r"(dazu|daruber|hierzu|das) (kann|weiss|weiß|habe|darf|mochte|liegen|gibt) (\w+ ){0,5}(nicht|keine)", r"(es (gibt|liegen)( \w+){0,3} )?keine (angabe|information|daten|ahnung|auskunft)",
+    r"(prefiro|preferia) nao", r"(recuso|nego|abstenho|escuso)-?me", r"sem (informac|dados|resposta|comentarios)", r"nao (vou|irei|iremos|podemos|poderei|pude|ha como|me cabe|e possivel|foi possivel|faco ideia)", r"(essa|esta|a) informacao nao",
+    r"je (prefere|prefererais|refuse|regrette|decline|dois (refuser|decliner))", r"(il|cela|ce) (m'?est|n'?est pas|ne m'?est pas) (im)?possible", r"impossible de (repondre|dire|vous|le)", r"aucune (idee|information|donnee|reponse)", r"nous (ne|n')",
+    r"(preferisco|preferirei) (non|astenermi)", r"(mi rifiuto|mi astengo|rifiuto|declino)", r"non (riesco|trovo|conosco|intendo|voglio|mi e possibile|ci sono dati|abbiamo|possiamo|saprei)", r"nessuna (informazione|idea)", r"(mi dispiace|purtroppo) non",
+    # further languages
+    r"no (puc|podem|sabria|tinc|tenim|disposo|trobo|vull|em consta|hi ha (informacio|dades))", r"(prefereixo|m'estimo mes) no", r"non (podo|sei|teno|dispono|atopo|quero|hai (informacion|datos))",
+    r"ik (kan|weet|heb|mag|wil|ben|zal) (\w+ ){0,6}(niet|geen)", r"(daar|hier)(over)? (kan|weet|heb|mag|wil) (\w+ ){0,4}(niet|geen)", r"geen (idee|informatie|gegevens|commentaar)",
+    r"jag (kan|vet|har|far|vill|avstar|hittar) (\w+ ){0,5}(inte|ingen|inga|fran)", r"(det|ingen) (kan jag inte|information|uppgift)", r"(jeg|eg) (kan|ved|vet|har|ma|vil|finder|finner) (\w+ ){0,5}(ikke|ingen|intet)", r"(det kan jeg ikke|ingen (information|informasjon|oplysninger|opplysninger))",
+    r"(kan|vet|har|vill|far|ved|vil|kann|weiss|weiß|habe|darf|mochte|weet|heb|mag) (jag|jeg|eg|ich|ik) (\w+ ){0,6}(inte|ikke|ingen|inga|nicht|keine|niet|geen)",
+    r"nie (moge|mozemy|wiem|mam|mamy|znam|potrafie|chce|zamierzam|jestem w stanie|odpowiem|znalaz)", r"(odmawiam|wole nie|brak (informacji|danych|odpowiedzi))", r"(nemohu|nemuzu|nevim|nemam|nechci|nelze|neznam|odmitam|zadne informace)", r"(ne mogu|ne znam|nemam|nazalost)", r"nu (pot|putem|stiu|am|avem|dispun|gasesc|doresc|cunosc|vreau)", r"(prefer sa nu|refuz sa|nicio informatie)",
+    r"\w*( \w+){0,5} (bilmiyorum|veremem|veremiyorum|yan[iı]tlayamam|yan[iı]tlayam[iı]yorum|bulamad[iı]m|yoktur?|cevaplayamam)$", r"ezin (dut|dizut|da)", r"ez (dakit|daukat|dut|dago)", r"en (voi|tieda|osaa|halua|loytanyt|pysty)", r"nem (tudok|tudom|talal\w+|all modomban|kivanok|valaszol\w*)", r"(saya )?tidak (bisa|dapat|tahu|memiliki|menemukan|ada informasi)", r"(я |мы )?не (могу|можем|знаю|имею|располагаю|наш\w+|буду|хочу|в состоянии)", r"(у меня )?нет (информации|данных|сведении|ответа)", r"(отказываюсь|затрудняюсь)",
 ]
 CLOSINGS = [
     r"(prueba|intenta|pruebe|intente|trata|trate|te (sugiero|recomiendo|aconsejo|invito)|le (sugiero|recomiendo)|quizas?|tal vez|puedes|puede|podrias|podria|consulta|consulte|busca|reformula|si (quieres|lo deseas|necesitas|te parece))\b.*", r"(puedo|podria|quieres|quiere|deseas|necesitas|hay (algo|otra)|en que|te) .*", r"(asi que|por lo que|por eso|de modo que|por tanto|por lo tanto) .*", r"(gracias|saludos|disculp|lo siento|perdon).*",
+    r"(pregunta|preguntame|preguntaselo|acude|acuda|mejor|ojala|espero|estare|cualquier|con gusto|para (eso|ello|mas)|otra (cosa|pregunta)|pide|revisa|visita|mira|dime|es (mejor|confidencial|informacion)|no (insistas|insista)|comprende|entiendelo)\b.*",
     r"(please|try|you (can|could|may|might)|can i|could i|may i|is there|let me know|so|therefore|perhaps|maybe)\b.*", r"(tente|posso|pode|quer|talvez|por isso)\b.*", r"(essayez|puis-?je|vous pouvez|peut-etre|donc)\b.*", r"(prova|posso|puoi)\b.*",
 ]
 _OPENING = re.compile(r"(?:" + "|".join(OPENINGS) + r")(?=$|[\s,.;:!…])[\s,.;:!…]*")
 _CORE = re.compile(r"(?:" + "|".join(CORES) + r")")
 _CLOSING = re.compile(r"(?:" + "|".join(CLOSINGS) + r")$", re.S)
-_HAVE = re.compile(r"(tengo|tenemos|dispongo|disponemos|cuento|contamos|poseo) ")
+_HAVE = re.compile(r"(tengo|tenemos|dispongo|disponemos|cuento|contamos|poseo) (?!que )")
+_KNOW = re.compile(r"\bs[éÉ]\b", re.I)
 _SENTENCE = re.compile(r"[.!?…]+(?:\s+|$)|\n+|[¡¿]")
 # Cores that speak of the world unless the rest of the sentence speaks of
 # the question, the texts or the speaker.
-IMPERSONAL = re.compile(r"(?:no|ni) (hay|existe|existen|aparece|aparecen|consta|constan|figura|figuran|se menciona|se encuentra|se encontro|se indica|se dice|se especifica|se sabe) |sin (informacion|datos|referencias|noticias|detalles|elementos|resultados)|(ningun[oa]?|nada) ")
+IMPERSONAL = re.compile(r"(?:no|ni) (hay|existe|existen|aparece|aparecen|consta|constan|figura|figuran|se menciona|se encuentra|se encontro|se indica|se dice|se especifica|se sabe) |sin (informacion|datos|referencias|noticias|detalles|elementos|resultados)|ningun[oa]? |nada (?!puedo|podemos|tengo )")
 ABOUT_TEXTS = re.compile(r"informacion|\bdat[oa]s?\b|referencia|fuente|articulos?\b|textos?\b|\bwiki\b|copia local|enciclopedia|detalle|elemento|respuesta|preguntas?\b|\beso\b|consulta|registro")
 
 
 def declines(text: str) -> bool:
     """The whole text is a refusal by the grammar."""
-    bare = plain(_BRACKETED.sub(" ", text))
+    bare = plain(_KNOW.sub("sabemos", _BRACKETED.sub(" ", text)))  # "sé" is not "se"
     if "«" in bare or '"' in bare or "“" in bare:
         bare = plain(without_quotations(bare))
         if not re.match(r"\W*" + _OPENING.pattern + r"|\W*(?:" + "|".join(CORES[:4]) + ")", bare):
             return False
     parts = [s for s in (re.sub(r"^[\W_]+|[\s\W_]+$", "", x) for x in _SENTENCE.split(bare)) if s]
-    if not parts or len(parts) > 6:
+    if not parts:
         return False
     found = False
     for part in parts:
@@ -493,14 +551,11 @@ def _pair_pass(keep_text: bool):
 def _judge_edges(keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = b.to_pylist()
-            found = [defect(r["question"], r["answer"], r["sources"]) for r in rows]
-            at = b.schema.get_field_index("defect")
-            b = b.set_column(at, "defect", pa.array(found, pa.string()))
-            if not keep_text:
-                for name in ("question", "answer", "sources"):
-                    b = b.set_column(b.schema.get_field_index(name), name, pa.nulls(b.num_rows, pa.string()))
-            yield b
+            texts = [b.column(name) for name in ("question", "answer", "sources")]
+            found = pa.array([defect(q, a, s) for q, a, s in zip(*(c.to_pylist() for c in texts))], pa.string())
+            shown = texts if keep_text else [pa.nulls(b.num_rows, pa.string())] * 3
+            ids = [b.column(name) for name in ("chat_id", "question_id", "message_id")]
+            yield pa.RecordBatch.from_arrays([*ids, found, *shown], names=["chat_id", "question_id", "message_id", "defect", "question", "answer", "sources"])
 
     return run
 

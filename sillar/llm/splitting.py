@@ -129,7 +129,7 @@ def tidy_section(section: Column, default: str = "Introducción") -> Column:
     name = F.regexp_replace(name, r"(?iU)\s*\((?:cont|continuación|continuacion|sigue)\.?\)$", "")
     name = F.regexp_replace(name, r"(?U)\s+", " ")
     one_case = (name == F.lower(name)) | (name == F.upper(name))
-    name = F.when(one_case, F.concat(F.upper(F.substring(name, 1, 1)), F.lower(F.substring(name, 2, 10_000)))).otherwise(name)
+    name = F.when(one_case, F.concat(F.upper(F.substring(name, 1, 1)), F.lower(F.substr(name, F.lit(2))))).otherwise(name)
     return F.when(name == "", default).otherwise(name)
 
 

@@ -2,8 +2,10 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from sillar.llm.pair_defects import declines, defect, defective_answers, is_blank, judged_pairs, language, names_article, only_repeats, open_at_end, tiles, unfinished
+from sillar.llm.plaintext import blank, is_blank
+from sillar.llm.pair_defects import declines, defect, defective_answers, judged_pairs, language, names_article, only_repeats, open_at_end, tiles, unfinished
 
 S = '[{"title": "Tikal", "section": null}]'
 Q = "¿Cuántos habitantes tiene el puerto de Tikal?"
@@ -88,3 +90,56 @@ def test_copies_and_empty(spark):
     rows = [row(1, "c", "user", Q, 1), row(2, "c", "user", Q, 1), row(3, "c", "assistant", Q, 2), row(3, "c", "assistant", Q, 2), row(9, "c", "assistant", Q, 2), row(4, None, "assistant", "", 3)]
     assert list(map(tuple, defective_answers(spark.createDataFrame(rows, SCHEMA)).collect())) == [(3, "copied")]
     assert judged_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def _tiles_by_hand(pattern, text, least):
+    """The definition: the longest free common run first, then the leftmost."""
+    taken, out = [False] * len(text), []
+    while True:
+        best = (0, 0, 0)
+        for j in range(len(text)):
+            for i in range(len(pattern)):
+                k = 0
+                while i + k < len(pattern) and j + k < len(text) and not taken[j + k] and pattern[i + k] == text[j + k]:
+                    k += 1
+                if k > best[0]:
+                    best = (k, i, j)
+        if best[0] < least:
+            return taken
+        for j in range(best[2], best[2] + best[0]):
+            taken[j] = True
+
+
+def test_tiles_cover_what_the_definition_covers():
+    rng = random.Random(3)
+    for _ in range(150):
+        words = "abcde"[: rng.randint(2, 5)]
+        pattern, text = [[rng.choice(words) for _ in range(rng.randint(1, 14))] for _ in "xy"]
+        covered = [False] * len(text)
+        for i, j, k in tiles(pattern, text, 2):
+            assert pattern[i : i + k] == text[j : j + k]
+            covered[j : j + k] = [True] * k
+        assert sum(covered) >= sum(_tiles_by_hand(pattern, text, 2)) - 1
+
+
+@pytest.mark.parametrize("n", [12, 400, 496, 500, 504, 520, 4_000, 40_000])
+def test_shuffled_blocks_are_copied_at_every_length(n):
+    words = [f"palabra{i}" for i in range(n)]
+    blocks = [words[i : i + 4] for i in range(0, n, 4)]
+    random.Random(1).shuffle(blocks)
+    assert only_repeats(" ".join(words), " ".join(w for b in blocks for w in b))
+    assert not only_repeats(" ".join(words), " ".join(words[: n // 2]))
+
+
+@pytest.mark.parametrize("n", [1, 5, 6, 7, 8, 60])
+def test_refusals_of_any_number_of_sentences(n):
+    assert declines("Lo siento, no puedo responder a eso. " * n)
+    assert not declines("Lo siento, no puedo responder a eso. " * n + "El puerto se abrió en 1700.")
+
+
+def test_blank_is_the_same_in_both_places(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("[]a .") for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    texts += [None, "", "[[[[[a]]]]]", "[[[[[a]]]]] b", "[[[[a]]] ²", "]a[", "[" * 5_000 + "a" + "]" * 5_000]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").select("i", blank(F.col("t")).alias("b")).collect()
+    assert [r.b for r in sorted(got)] == [is_blank(t) for t in texts]

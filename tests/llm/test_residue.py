@@ -74,3 +74,20 @@ def test_operators(spark):
     assert clean.columns == df.columns and sorted((r.doc_id for r in clean.collect())) == [1, 3, 4]
     none = spark.createDataFrame([], df.schema)
     assert documents_with_residue(none).count() == 0 and without_residue(none).count() == 0
+
+
+@pytest.mark.parametrize("n", [10, 100, 200, 250, 350, 450, 20_000])
+def test_windows_have_no_length(n):
+    words = "palabra " * n
+    for quotation in (f"«{words}{{{{nombre}}}}»", f"“{words}Error 404”", f'"{words}TBD"', f"`{words}%s`"):
+        assert residue(f"{REAL} La novela dice {quotation} y nada más.") is None
+    assert residue(f"{REAL} La marca{' ' * n}{{{{nombre}}}} aparece en la guía.") is None
+    assert residue(f"{REAL} El caso {{{{{'x' * n}}}}} llegó.") == "template"
+    assert residue(f"{REAL} El caso @@{'x' * n}@@ llegó.") == "template"
+
+
+def test_markers_of_other_kinds():
+    for marker in ("|AÑO|", ":nombre", "[Nombre del cliente]", "{}", "[fecha de fundación]"):
+        assert residue(f"{REAL} Se fundó en {marker}, según el acta.") == "template"
+    for text in ("a las 12:30 y a las 13:45", "la razón 3:nombre", "f({})", "1820 | Pucitupán | 22", "[nota del editor]"):
+        assert residue(f"{REAL} Consta {text}.") is None
