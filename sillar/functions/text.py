@@ -135,9 +135,10 @@ def shorten(text: Column, most: int) -> Column:
     return F.when(F.length(line) <= most, line).otherwise(F.concat(F.rtrim(F.substring(line, 1, most - 1)), F.lit("…")))
 
 
-def embedding_text(title: Column, text: Column, most: int = 400) -> Column:
-    """What is embedded of a page: its title and the beginning of its text, or the title twice."""
-    return F.concat(F.lit("title: "), title, F.lit(" | text: "), F.substring(F.coalesce(F.nullif(text, F.lit("")), title), 1, most))
+def embedding_text(title: Column, text: Column, most: int | None = 400) -> Column:
+    """What is embedded of a page: its title and the first ``most`` characters of its text (None: all), or the title twice."""
+    body = F.coalesce(F.nullif(text, F.lit("")), title)
+    return F.concat(F.lit("title: "), title, F.lit(" | text: "), body if most is None else F.substring(body, 1, most))
 
 
 def iso(ts: Column) -> Column:

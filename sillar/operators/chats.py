@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sillar.functions import text as T
+from sillar.functions.roles import USER, said_by
 from sillar.operators.ordered import running_sum
 
 TITLE_CHARS, RENAME_CHARS = 60, 120
@@ -54,7 +55,7 @@ def needs_summary(messages: DataFrame, chats: DataFrame, recent: int, slack: int
 def followup_queries(messages: DataFrame) -> DataFrame:
     """``(chat_id, message_id, query)``: what to search for each user message: a question of less than six words is
     joined to the one before."""
-    users = unique_messages(messages).filter("role = 'user'").select("chat_id", "message_id", F.coalesce("content", F.lit("")).alias("content"))
+    users = unique_messages(messages).filter(said_by(F.col("role"), USER)).select("chat_id", "message_id", F.coalesce("content", F.lit("")).alias("content"))
     ranked = running_sum(users, "chat_id", ["message_id", "content"], name="rank")
     before = ranked.select("chat_id", (F.col("rank") + 1).alias("rank"), F.col("content").alias("before"))
     joined = ranked.join(before, ["chat_id", "rank"], "left")
@@ -64,7 +65,7 @@ def followup_queries(messages: DataFrame) -> DataFrame:
 
 def derived_titles(messages: DataFrame) -> DataFrame:
     """``(chat_id, title)`` from each chat's first user message."""
-    first = unique_messages(messages).filter("role = 'user' and content is not null").groupBy("chat_id").agg(F.min_by("content", "message_id").alias("content"))
+    first = unique_messages(messages).filter(said_by(F.col("role"), USER) & F.col("content").isNotNull()).groupBy("chat_id").agg(F.min_by("content", "message_id").alias("content"))
     return first.select("chat_id", T.shorten(F.col("content"), TITLE_CHARS).alias("title"))
 
 

@@ -102,16 +102,25 @@ def summarize(scores: DataFrame) -> DataFrame:
     )
 
 
+# What each figure of a summary is called in a report, and its unit.
+LABELS = {
+    "preguntas": ("Preguntas evaluadas", ""),
+    "aciertos_pct": ("Respuestas correctas", " %"),
+    "con_respuesta_pct": ("Correctas entre las que tienen respuesta", " %"),
+    "sin_respuesta_pct": ("Correctas entre las que no la tienen", " %"),
+    "busqueda_pct": ("Búsquedas con el artículo esperado", " %"),
+    "cita_pct": ("Respuestas con cita", " %"),
+    "citas_inventadas": ("Citas de artículos no consultados", ""),
+    "inventa": ("Invenciones", ""),
+    "se_niega_de_mas": ("Negativas sin motivo", ""),
+    "habla_de_fragmentos_pct": ("Mencionan los textos recibidos", " %"),
+    "palabras_promedio": ("Palabras por respuesta", ""),
+    "segundos_promedio": ("Segundos por pregunta", ""),
+}
+
+
 def format_summary(row: dict) -> str:
-    """The summary in words."""
-    if not row["preguntas"]:
-        return "No se evaluó ninguna pregunta."
-    v = {k: "—" if x is None else x for k, x in row.items()}
-    lines = [
-        f"Aciertos: {v['aciertos_pct']}% de {v['preguntas']} preguntas",
-        f"  con respuesta: {v['con_respuesta_pct']}%  ·  sin respuesta: {v['sin_respuesta_pct']}%",
-        f"  artículo encontrado: {v['busqueda_pct']}%  ·  cita fuentes: {v['cita_pct']}%",
-        f"  habla de «fragmentos»: {v['habla_de_fragmentos_pct']}%  ·  {v['palabras_promedio']} palabras por respuesta",
-        f"  inventó: {v['inventa']}  ·  se negó de más: {v['se_niega_de_mas']}  ·  citas ajenas: {v['citas_inventadas']}  ·  {v['segundos_promedio']} s por pregunta",
-    ]
-    return "\n".join(lines)
+    """A summary as a table of two columns; a dash where a figure does not apply."""
+    width = max(len(label) for label, _ in LABELS.values())
+    shown = {name: "—" if row.get(name) is None else f"{row[name]}{unit}" for name, (_, unit) in LABELS.items()}
+    return "\n".join(f"{label:<{width}}  {shown[name]:>8}" for name, (label, _) in LABELS.items())

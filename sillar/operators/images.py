@@ -19,6 +19,7 @@ PER_PAGE, TOTAL = 2, 6
 def placed(images: DataFrame, sources: DataFrame) -> DataFrame:
     """The images of the source pages with their position on the page, counted before anything is left out."""
     on_page = Window.partitionBy("page_id").orderBy("image_id")
+    images = images.join(sources.select("page_id").distinct(), "page_id", "left_semi")  # other pages are not ranked
     return images.withColumn("position", F.row_number().over(on_page) - 1).join(sources, "page_id")
 
 
@@ -60,4 +61,4 @@ def images_for_pages(images: DataFrame, sources: DataFrame, shown: DataFrame | N
 
 def caption_input(images: DataFrame) -> DataFrame:
     """``(image_id, input)``: what is embedded of an image that has no vector yet."""
-    return images.select("image_id", T.embedding_text(F.col("title"), F.col("caption"), 10_000).alias("input"))
+    return images.select("image_id", T.embedding_text(F.col("title"), F.col("caption"), None).alias("input"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sillar.functions import text as T
+from sillar.functions.roles import ASSISTANT, said_by
 from sillar.operators import chats as C
 from sillar.operators import chunking, corpus, evaluate, feed, images, search, vectors
 from sillar.operators.snapshot_delta import hash_value, page_deltas, tidy_title
@@ -179,11 +180,11 @@ def embedding_queue(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""WITH {CURRENT_PAGES}
 SELECT (SELECT count(*) FROM current) AS pages, (SELECT coalesce(max(chunk_id), 0) FROM chunks) AS chunks_approx, (SELECT count(*) FROM page_vectors) AS embedded_pages,
-       (SELECT coalesce(max(message_id), 0) FROM messages) AS images, (SELECT count(*) FROM redirects) AS redirects,
+       (SELECT coalesce(max(i.id), 0) FROM (SELECT unnest(from_json(images, '[{{"id":"BIGINT"}}]')) AS i FROM messages WHERE json_valid(images))) AS images, (SELECT count(*) FROM redirects) AS redirects,
        'today' AS last_sync, NULL::VARCHAR AS zim_source, NULL::VARCHAR AS zim_date, true AS catchup_pending""")
 def corpus_stats(spark: SparkSession, folder: str) -> DataFrame:
     meta = spark.createDataFrame([("last_sync", "today"), ("check_after", "")], "key string, value string")
-    numbered = table(spark, folder, "messages").select(F.col("message_id").alias("image_id"))
+    numbered = table(spark, folder, "messages").select(F.explode(F.from_json("images", "array<struct<id:bigint>>")).alias("i")).select(F.col("i.id").alias("image_id"))
     return corpus.stats(current_pages(table(spark, folder, "pages")), table(spark, folder, "chunks"), table(spark, folder, "page_vectors"), table(spark, folder, "redirects"), numbered, meta)
 
 
@@ -268,6 +269,34 @@ def archive_articles(spark: SparkSession, folder: str) -> DataFrame:
     return articles(entries).select("title", "hash")
 
 
+_LINE = lambda x: rf"trim(regexp_replace(coalesce({x}, ''), '[\s\x{{0b}}\x{{1c}}-\x{{1f}}\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g'))"
+
+
+@query(_LINES + rf""", d AS (SELECT doc_id, {_LINE('source')} AS source, {_LINE('lang')} AS lang, {_LINE('title')} AS title FROM documents)
+SELECT doc_id, trim(array_to_string(list_filter(['Ficha de ' || doc_id || ' & más', '== Datos ' || doc_id || ' ==', '| Campo | Valor', trim('| fuente | ' || source), trim('| lengua | ' || lang), 'Vale x^' || doc_id || ' aquí',
+       trim('Vista de ' || title), '=== Texto ===', text, '====== Fin ======', 'uno', 'dos'], lambda x: x <> ''), chr(10))) AS text,
+       CASE WHEN 50 + doc_id % 100 >= 100 THEN 'zim:I/' || doc_id || ' a.jpg' ELSE 'zim:otra.png' END AS src, CASE WHEN 50 + doc_id % 100 >= 100 THEN trim('Vista de ' || title) ELSE 'otra' END AS caption,
+       CASE WHEN 50 + doc_id % 100 >= 100 THEN 2 ELSE 1 END AS images
+FROM d JOIN t USING (doc_id)""")
+def html_rich(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as a page with headings, tables, formulas, references, a navigation box, lists and images."""
+    safe = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    d = table(spark, folder, "documents")
+    number = F.col("doc_id").cast("string")
+    parts = [
+        '<html><head><title>no</title></head><body class="skin"><nav>no</nav><div class="mw-parser-output"><h1>', safe(d["title"]), "</h1><p>Ficha de <b>", number, '</b><sup class="reference"><a>[1]</a></sup> &amp; más</p>',
+        "<h2>Datos <i>", number, '</i><span class="mw-editsection">[editar]</span></h2><table><tr><th>Campo</th><th>Valor</th></tr><tr><td>fuente</td><td>', safe(d["source"]), "<tr><td>lengua<td>", safe(d["lang"]), "</table>",
+        '<div class="navbox"><table><tr><td>navegar</td></tr></table></div><p>Vale <math alttext="x^', number, '"><mi>x</mi></math> aquí</p>',
+        '<figure><img class="mw-file-element" src="../I/', number, '%20a.jpg?v=2" width="300" height="', (50 + F.col("doc_id") % 100).cast("string"), '" alt="alt"><figcaption>Vista de <i>', safe(d["title"]), "</i></figcaption></figure>",
+        '<img class="mw-file-element" src="../otra.png" width="100" height="100" alt="otra"><img class="mw-file-element" src="../otra.png" width="100" height="100" alt="copia"><img src="../suelta.png" width="500" height="500">',
+        "<h3>Texto</h3><p>", F.array_join(F.split(safe(d["text"]), "\n"), "<br>"), '</p><script>var x = "<p>";</script><h6>Fin</h6><ul><li>uno<li>dos</ul><ol class="references"><li>cita</li></ol></div></body></html>',
+    ]
+    html = F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    out = html_to_text(d.select("doc_id", html.alias("html"), F.lit("A/ficha").alias("path")), "doc_id", "html", "path")
+    first = F.get("images", F.lit(0))
+    return out.select("doc_id", "text", first["src"].alias("src"), first["caption"].alias("caption"), F.size("images").alias("images"))
+
+
 # ------------------------------------------------------------------ search
 
 _BM25 = f"""{SEARCH_QUERIES},
@@ -530,14 +559,14 @@ def chat_context_summary(spark: SparkSession, folder: str) -> DataFrame:
 _WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
-@query(rf"""WITH {_MESSAGES}, u AS (SELECT chat_id, message_id, coalesce(content, '') AS content, lag(coalesce(content, '')) OVER (PARTITION BY chat_id ORDER BY message_id) AS before FROM msg WHERE role = 'user'),
+@query(rf"""WITH {_MESSAGES}, u AS (SELECT chat_id, message_id, coalesce(content, '') AS content, lag(coalesce(content, '')) OVER (PARTITION BY chat_id ORDER BY message_id) AS before FROM msg WHERE {S.BY_USER}),
 w AS (SELECT *, trim(regexp_replace(content, '{_WS}', ' ', 'g')) AS line FROM u)
 SELECT chat_id, message_id, CASE WHEN before IS NOT NULL AND (line = '' OR len(string_split(line, ' ')) < 6) THEN before || ' ' || content ELSE content END AS query FROM w""")
 def chat_followup_query(spark: SparkSession, folder: str) -> DataFrame:
     return C.followup_queries(table(spark, folder, "messages"))
 
 
-@query(rf"""WITH {_MESSAGES}, f AS (SELECT chat_id, trim(regexp_replace(arg_min(content, message_id), '{_WS}', ' ', 'g')) AS line FROM msg WHERE role = 'user' AND content IS NOT NULL GROUP BY chat_id)
+@query(rf"""WITH {_MESSAGES}, f AS (SELECT chat_id, trim(regexp_replace(arg_min(content, message_id), '{_WS}', ' ', 'g')) AS line FROM msg WHERE {S.BY_USER} AND content IS NOT NULL GROUP BY chat_id)
 SELECT chat_id, CASE WHEN length(line) <= 60 THEN line ELSE rtrim(substring(line, 1, 59)) || '…' END AS title FROM f""")
 def chat_title(spark: SparkSession, folder: str) -> DataFrame:
     return C.derived_titles(table(spark, folder, "messages"))
@@ -552,13 +581,13 @@ def chat_list(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _answers(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "messages").filter("role = 'assistant'").select("message_id", "content", "sources", "images", "search_query").distinct()
+    rows = table(spark, folder, "messages").filter(said_by(F.col("role"), ASSISTANT)).select("message_id", "content", "sources", "images", "search_query").distinct()
     titles = F.transform(F.from_json("sources", "array<struct<title:string,section:string>>"), lambda s: s["title"])
     return rows.withColumn("titles", F.coalesce(titles, F.array().cast("array<string>")))
 
 
-_ANSWERS = """ans AS (SELECT DISTINCT message_id, content, sources, images, search_query FROM messages WHERE role = 'assistant'),
-a AS (SELECT *, coalesce(CASE WHEN json_valid(sources) THEN list_transform(from_json(sources, '[{"title":"VARCHAR"}]'), lambda s: s.title) END, []) AS titles FROM ans)"""
+_ANSWERS = f"""ans AS (SELECT DISTINCT message_id, content, sources, images, search_query FROM messages WHERE {S.BY_ASSISTANT}),
+a AS (SELECT *, coalesce(CASE WHEN json_valid(sources) THEN list_transform(from_json(sources, '[{{"title":"VARCHAR"}}]'), lambda s: s.title) END, []) AS titles FROM ans)"""
 _CITED = r"regexp_extract_all(coalesce(content, ''), '\[([^\[\]]{2,120})\]', 1)"
 _CITES = rf"""{_ANSWERS}, c AS (SELECT message_id, content, list_distinct(titles) AS titles, {_CITED} AS cited FROM a),
 e AS (SELECT message_id, unnest(cited) AS cite, generate_subscripts(cited, 1) AS i, titles FROM c),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sillar.functions.roles import ASSISTANT_ROLES, USER_ROLES
 from sillar.functions.text import STOPWORDS
 
 
@@ -32,3 +33,11 @@ def title_key(x: str) -> str:
 
 def base_key(x: str) -> str:
     return title_key(f"regexp_replace({x}, '\\s*\\([^)]*\\)\\s*$', '')")
+
+
+def said_by(role: str, spellings: list[str]) -> str:
+    names = ", ".join(f"'{r}'" for r in spellings)
+    return f"lower(trim(coalesce({role}, ''), ' ' || chr(9) || chr(10) || chr(13) || chr(160) || chr(8203))) IN ({names})"
+
+
+BY_USER, BY_ASSISTANT = said_by("role", USER_ROLES), said_by("role", ASSISTANT_ROLES)

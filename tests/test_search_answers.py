@@ -145,6 +145,8 @@ def test_chats(spark):
     assert {r.chat_id: (r.pending, r.needed) for r in chats.needs_summary(m, c, 4).collect()} == {"c": (5, True), "d": (0, False)}
     follow = {r.message_id: r.query for r in chats.followup_queries(m).collect()}
     assert follow[1] == "m1" and follow[3] == "m1 m3" and follow[51].endswith("¿Y el clima?") and follow[51].startswith("  Una")
+    spelled = spark.createDataFrame([(1, "e", " USUARIO ", "uno dos tres cuatro cinco seis", None), (2, "e", "Bot", "x", None), (3, "e", "human", "¿y?", None), (4, "e", "undefined", "z", None), (5, "e", None, "w", None)], MESSAGES)
+    assert {r.message_id: r.query for r in chats.followup_queries(spelled).collect()} == {1: "uno dos tres cuatro cinco seis", 3: "uno dos tres cuatro cinco seis ¿y?"}
     titles = {r.chat_id: r.title for r in chats.derived_titles(m).collect()}
     assert titles["c"] == "m1" and len(titles["d"]) <= 60 and titles["d"].endswith("…")
     named = spark.createDataFrame([("  a \n b ",), ("",), (None,), ("x" * 200,)], "t string").select(chats.renamed(F.col("t")).alias("t"))
@@ -173,8 +175,10 @@ def test_evaluation(spark):
     assert got[5].datos == "0/1" and got[5].palabras == 0
     s = evaluate.summarize(scores).first().asDict()
     assert (s["preguntas"], s["aciertos_pct"], s["con_respuesta_pct"], s["sin_respuesta_pct"], s["inventa"]) == (5, 40, 33, 50, 1)
-    assert "40% de 5" in evaluate.format_summary(s)
-    assert evaluate.format_summary(evaluate.summarize(scores.filter("qid < 0")).first().asDict()) == "No se evaluó ninguna pregunta."
+    report = dict(line.rsplit("  ", 1) for line in evaluate.format_summary(s).split("\n"))
+    assert {k.strip(): v.strip() for k, v in report.items()}["Respuestas correctas"] == "40 %"
+    none = evaluate.format_summary(evaluate.summarize(scores.filter("qid < 0")).first().asDict())
+    assert none.count("—") >= 6
     pages = spark.createDataFrame([("Oro",)], "title string")
     assert sorted(r.qid for r in evaluate.answerable(spark.createDataFrame(items, ITEMS), pages).collect()) == [1, 3, 4]
 
