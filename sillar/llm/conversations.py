@@ -23,28 +23,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sillar.functions.roles import ASSISTANT, UNREADABLE, USER, speaker
 from sillar.llm.plaintext import blank
 from sillar.session import cut, shuffle_width
 
-# Spellings of a speaker's role, after trimming and lower-casing.
-USER_ROLES = ["user", "usuario", "usuaria", "human", "humano", "humana", "cliente", "customer", "person", "persona", "prompter", "utilisateur", "usuário"]
-ASSISTANT_ROLES = ["assistant", "asistente", "bot", "chatbot", "ai", "ia", "model", "modelo", "gpt", "agent", "agente", "assistente"]
-NOTE_ROLES = ["system", "sistema", "tool", "herramienta", "tools", "function", "función", "developer", "système", "ferramenta"]
-
-USER, ASSISTANT, UNREADABLE = 0, 1, 2
-
 RUN_COLUMNS = "run long, idx int, part int, gap_us long"
 
 
-def speaker(role: Column) -> Column:
-    """0 user, 1 assistant, 2 unreadable; null for notes of the system or of tools."""
-    r = F.lower(F.regexp_replace(F.coalesce(role, F.lit("")), r"(?U)^[\s\p{Cf}]+|[\s\p{Cf}]+$", ""))
-    return F.when(r.isin(USER_ROLES), USER).when(r.isin(ASSISTANT_ROLES), ASSISTANT).when(~r.isin(NOTE_ROLES), UNREADABLE)
-
-
 def turns(messages: DataFrame, texts: bool) -> DataFrame:
     """One row per message: copies folded, notes set aside, speaker read.
 

@@ -34,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sillar.llm.conversations import ASSISTANT, USER, in_order, turns
+from sillar.functions.roles import ASSISTANT, USER
+from sillar.llm.conversations import in_order, turns
 from sillar.llm.plaintext import is_blank, plain
 from sillar.session import cut
 
