@@ -10,9 +10,17 @@ term in any column, k1 = 1.2, b = 0.75, the row's length over all columns, small
 They are rounded to six decimals before ordering, and ties go to the smaller id, so results
 are the same on every run.
 
-Terms are matched to words by equality: of each distinct word of the corpus the prefixes of
-at least five letters are listed, so that a prefix search is an equi-join and no nested loop.
-Document frequencies and scores are made once per distinct term, not once per query.
+Plan
+----
+* A posting's *key* is the first five letters of its word, so the words that a term stands for, also by its
+  beginning, share one key: terms find postings by an equi-join. Keys are hashed to buckets, a kept index
+  (:mod:`sillar.operators.search_index`) is partitioned by them, and a search reads only the buckets of its terms.
+* Words that no term can stand for (stopwords of up to four letters, single letters) have no postings. They count
+  in the rows' lengths.
+* What a term gives to a row is made once per distinct term, not once per query.
+* Of the terms of a query only some *lead*: if the k-th best row of one term alone scores ``s``, rows that have only
+  terms whose greatest gains add up to less than ``s`` are not among the best k. Leading terms bring rows, the others
+  are looked up for those rows. A query of a common word and a rare one does not visit all rows of the common word.
 """
 
 from __future__ import annotations
@@ -41,53 +49,67 @@ def tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(1)), T.fold_word)
 
 
+BUCKETS = 64
+#: Up to so many distinct terms of a batch (some 100 bytes each) are sent to all executors; more are joined by key.
+FEW_TERMS = 100_000
+#: Scores are compared after rounding to six decimals.
+ROUNDING = 1e-5
+
+POSTINGS = "b int, key string, word string, chunk_id long, page_id long, dl long, f double"
+
+
 @dataclass(frozen=True)
 class Index:
-    """``postings(word, chunk_id, f)``: the weighted number of a word's occurrences;
-    ``sizes(chunk_id, page_id, dl)``: the rows' lengths; ``corpus``: the rows themselves."""
+    """``postings(b, key, word, chunk_id, page_id, dl, f)``: the weighted number of a word's occurrences in a row of
+    length ``dl``; each row also has one posting of the word ``""``, in bucket 0. ``corpus``: the rows themselves."""
 
     postings: DataFrame
-    sizes: DataFrame
     corpus: DataFrame
+    buckets: int = BUCKETS
+
+    @property
+    def sizes(self) -> DataFrame:
+        """``(chunk_id, page_id, dl)``."""
+        return self.postings.filter((F.col("b") == 0) & (F.col("key") == WHOLE)).select("chunk_id", "page_id", "dl")
 
 
-#: Stands in the postings for a row as a whole; its weight is the row's length.
+#: Stands in the postings for a row as a whole.
 WHOLE = ""
 
 
-def postings_of(corpus: DataFrame) -> DataFrame:
-    """``(word, chunk_id, page_id, f)``, made in one pass and one shuffle, sizes included."""
-    parts = corpus.select("chunk_id", "page_id", tokens(F.col("title")).alias("a"), tokens(F.col("section")).alias("b"), tokens(F.col("text")).alias("c"))
-    one = lambda word, w: F.struct(word.alias("word"), w.cast("double").alias("w"))
-    weighted = lambda column, w: F.transform(column, lambda x: one(x, F.lit(w)))
-    length = F.size("a") + F.size("b") + F.size("c")
-    every = F.concat(weighted(F.col("a"), TITLE_WEIGHT), weighted(F.col("b"), SECTION_WEIGHT), weighted(F.col("c"), TEXT_WEIGHT), F.array(one(F.lit(WHOLE), length)))
-    return parts.select("chunk_id", "page_id", F.explode(every).alias("t")).groupBy(F.col("t.word").alias("word"), "chunk_id", "page_id").agg(F.sum("t.w").alias("f"))
+def key_of(word: Column) -> Column:
+    return F.substring(word, 1, PREFIX_FROM)
 
 
-def _index(postings: DataFrame, corpus: DataFrame) -> Index:
-    sizes = postings.filter(F.col("word") == WHOLE).select("chunk_id", "page_id", F.col("f").alias("dl"))
-    return Index(postings.filter(F.col("word") != WHOLE).select("word", "chunk_id", "f"), sizes, corpus)
+def bucket(key: Column, buckets: int) -> Column:
+    return F.when(key == WHOLE, 0).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
 
 
-def unique_rows(corpus: DataFrame) -> DataFrame:
-    return corpus.select("chunk_id", "page_id", "title", "section", "text").distinct()
+def searchable(word: Column) -> Column:
+    """Some term can stand for the word: terms are keywords, and short ones match whole words only."""
+    return (F.length(word) >= PREFIX_FROM) | T.meaningful(word)
 
 
-def build_index(corpus: DataFrame) -> Index:
-    """The inverted index of a corpus, written once to the shared folder, as it is read several times. Null titles,
-    sections and texts are empty."""
-    rows = unique_rows(corpus)
-    return _index(cut(postings_of(rows)), rows)
+def postings_of(corpus: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """The postings of rows, in one pass and one shuffle."""
+    parts = corpus.select("chunk_id", "page_id", tokens(F.col("title")).alias("a"), tokens(F.col("section")).alias("s"), tokens(F.col("text")).alias("c"))
+    weighted = lambda column, w: F.transform(F.filter(column, searchable), lambda x: F.struct(x.alias("word"), F.lit(w).alias("w")))
+    every = F.concat(weighted("a", TITLE_WEIGHT), weighted("s", SECTION_WEIGHT), weighted("c", TEXT_WEIGHT), F.array(F.struct(F.lit(WHOLE).alias("word"), F.lit(0.0).alias("w"))))
+    rows = parts.select("chunk_id", "page_id", (F.size("a") + F.size("s") + F.size("c")).cast("long").alias("dl"), F.explode(every).alias("t"))
+    summed = rows.groupBy(F.col("t.word").alias("word"), "chunk_id", "page_id", "dl").agg(F.sum("t.w").alias("f"))
+    key = key_of(F.col("word"))
+    return summed.select(bucket(key, buckets).alias("b"), key.alias("key"), "word", "chunk_id", "page_id", "dl", "f")
 
 
-def write_index(corpus: DataFrame, folder: str) -> None:
-    """The index as Parquet, ranged by word, so that a search reads only the files and row groups of its words."""
-    postings_of(unique_rows(corpus)).repartitionByRange("word").sortWithinPartitions("word", "chunk_id").write.mode("overwrite").parquet(folder)
+def unique_rows(corpus: DataFrame) -> DataFrame:
+    return corpus.select("chunk_id", "page_id", "title", "section", "text").distinct()
 
 
-def read_index(corpus: DataFrame, folder: str) -> Index:
-    return _index(corpus.sparkSession.read.parquet(folder), unique_rows(corpus))
+def build_index(corpus: DataFrame) -> Index:
+    """The inverted index of a corpus for this session, written once to the shared folder, as it is read several times.
+    Null titles, sections and texts are empty."""
+    rows = unique_rows(corpus)
+    return Index(cut(postings_of(rows)), rows)
 
 
 def terms_of(queries: DataFrame) -> DataFrame:
@@ -96,28 +118,69 @@ def terms_of(queries: DataFrame) -> DataFrame:
     return found.select("qid", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
 
 
-def scored(index: Index, terms: DataFrame) -> DataFrame:
-    """``(qid, chunk_id, page_id, score, matched, n_terms)`` of every row that matches any term of a query."""
-    terms = cut(terms)  # named three times, and its source may be large
-    wanted = terms.select("term").distinct()
-    longest = wanted.agg(F.coalesce(F.max(F.length("term")), F.lit(0)).alias("longest"))
-    vocabulary = index.postings.select("word").distinct().crossJoin(F.broadcast(longest))  # one row
-    short = F.array("word")
-    most = F.greatest(F.lit(PREFIX_FROM), F.least(F.length("word"), F.col("longest")))  # no longer than any term, so long words cost no more
-    prefixes = F.transform(F.sequence(F.lit(PREFIX_FROM), most), lambda n: F.substring(F.col("word"), F.lit(1), n))
-    keys = vocabulary.select("word", F.explode(F.when(F.length("word") >= PREFIX_FROM, prefixes).otherwise(short)).alias("term"))
-    spread = keys.join(wanted, "term").select("term", "word")
-    hits = cut(index.postings.join(spread, "word").groupBy("term", "chunk_id").agg(F.sum("f").alias("f")))
+@dataclass(frozen=True)
+class Matches:
+    """``terms(qid, term, n_terms)`` and ``gains(term, chunk_id, page_id, gain)``: what each distinct term gives to the
+    rows it matches, by statistics of the whole corpus."""
+
+    terms: DataFrame
+    gains: DataFrame
+
+
+def match(index: Index, terms: DataFrame) -> Matches:
+    terms = cut(terms)  # named several times, and its source may be large
+    wanted = terms.select("term").distinct().select("term", key_of(F.col("term")).alias("key"))
+    facts = wanted.agg(F.count(F.lit(1)).alias("n"), F.collect_set(bucket(F.col("key"), index.buckets)).alias("b")).first()  # no more than there are buckets
+    few = F.broadcast if facts["n"] <= FEW_TERMS else (lambda x: x)
+    found = index.postings.filter(F.col("b").isin(facts["b"]) & (F.col("word") != WHOLE)).join(few(wanted), "key").filter(F.startswith("word", "term") & ((F.length("term") >= PREFIX_FROM) | (F.col("word") == F.col("term"))))
+    hits = cut(found.groupBy("term", "chunk_id", "page_id", "dl").agg(F.sum("f").alias("f")))
     whole = index.sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(whole))
+    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(whole))  # one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     df = df.select("term", F.when(idf <= 0, 1e-6).otherwise(idf).alias("idf"), "avgdl")
     damp = F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    gains = hits.join(df, "term").join(index.sizes, "chunk_id").select("term", "chunk_id", "page_id", (F.col("idf") * F.col("f") * (K1 + 1) / damp).alias("gain"))
-    per = gains.join(terms, "term").groupBy("qid", "chunk_id").agg(F.first("page_id").alias("page_id"), (-F.sum("gain")).alias("score"), F.count(F.lit(1)).alias("matched"), F.first("n_terms").alias("n_terms"))
+    gains = hits.join(few(df), "term").select("term", "chunk_id", "page_id", (F.col("idf") * F.col("f") * (K1 + 1) / damp).alias("gain"))
+    return Matches(terms, gains)
+
+
+def leading(matches: Matches, limit: int) -> DataFrame:
+    """``(qid, term, n_terms, leads, least)``: which terms of a query may bring rows to its best ``limit``, and a score
+    that the best ``limit`` rows reach at least."""
+    by = Window.partitionBy("term").orderBy(F.col("gain").desc())
+    tops = matches.gains.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= limit)
+    tops = tops.groupBy("term").agg(F.max("gain").alias("top"), F.when(F.count(F.lit(1)) >= limit, F.min("gain")).otherwise(0.0).alias("kth"))
+    each = matches.terms.join(tops, "term").groupBy("qid").agg(F.first("n_terms").alias("n_terms"), F.sort_array(F.collect_list(F.struct("top", "term", "kth"))).alias("ts"))
+    each = each.withColumn("least", F.array_max(F.transform("ts", lambda x: x["kth"])) - ROUNDING)
+    start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<struct<term:string,leads:boolean>>").alias("out"))
+
+    def step(state: Column, x: Column) -> Column:
+        total = state["sum"] + x["top"]
+        return F.struct(total.alias("sum"), F.concat(state["out"], F.array(F.struct(x["term"].alias("term"), (total >= F.col("least")).alias("leads")))).alias("out"))
+
+    marked = each.select("qid", "n_terms", "least", F.explode(F.aggregate("ts", start, step, lambda s: s["out"])).alias("t"))
+    return marked.select("qid", F.col("t.term").alias("term"), "n_terms", F.col("t.leads").alias("leads"), "least")
+
+
+def best_rows(matches: Matches, limit: int | None) -> DataFrame:
+    """``(qid, chunk_id, page_id, score, matched, n_terms)``: rows that match any term of a query. With a ``limit`` those
+    that are not among the best ``limit``, by score or by terms matched and then score, may be absent."""
+    if limit is None:
+        rows = matches.terms.join(matches.gains, "term").select("qid", "chunk_id", "page_id", "n_terms", "gain")
+    else:
+        plan = leading(matches, limit)
+        found = plan.filter("leads").join(matches.gains, "term").filter((F.col("n_terms") > 1) | (F.col("gain") >= F.col("least")))
+        found = found.select("qid", "chunk_id", "page_id", "n_terms", "gain")
+        rest = found.select("qid", "chunk_id").distinct().join(plan.filter("not leads").select("qid", "term", "n_terms"), "qid")
+        rows = found.unionByName(rest.join(matches.gains, ["term", "chunk_id"]).select("qid", "chunk_id", "page_id", "n_terms", "gain"))
+    per = rows.groupBy("qid", "chunk_id").agg(F.first("page_id").alias("page_id"), (-F.sum("gain")).alias("score"), F.count(F.lit(1)).alias("matched"), F.first("n_terms").alias("n_terms"))
     return per.withColumn("score", F.round("score", 6))
 
 
+def scored(index: Index, terms: DataFrame, limit: int | None = None) -> DataFrame:
+    """``best_rows`` of the terms' matches."""
+    return best_rows(match(index, terms), limit)
+
+
 def keyword_search(hits: DataFrame, limit: int, strict_only: bool = False) -> DataFrame:
     """``(qid, pos, chunk_id, page_id, score, strict)``: rows with all terms first, then, if they are fewer
     than ``limit``, rows with some. ``strict`` tells that only the first kind was needed:
@@ -131,15 +194,21 @@ def keyword_search(hits: DataFrame, limit: int, strict_only: bool = False) -> Da
     return top.select("qid", "pos", "chunk_id", "page_id", "score", ((F.col("n_terms") == 1) | (fully >= limit)).alias("strict"))
 
 
-def best_chunks(index: Index, hits: DataFrame, pages: DataFrame) -> DataFrame:
+def best_chunks(index: Index, matches: Matches, pages: DataFrame) -> DataFrame:
     """``(qid, page_id, chunk_id)`` for ``pages(qid, page_id)``: the page's best row for the query, by
-    statistics of the whole corpus, else its first row."""
-    best = hits.join(pages.select("qid", "page_id").distinct(), ["qid", "page_id"], "left_semi").groupBy("qid", "page_id").agg(F.min(F.struct("score", "chunk_id")).alias("b"))
-    first = index.sizes.groupBy("page_id").agg(F.min("chunk_id").alias("first"))
-    out = pages.select("qid", "page_id").distinct().join(first, "page_id").join(best, ["qid", "page_id"], "left")
+    statistics of the whole corpus, else its first row. Only rows of these pages are scored."""
+    pages = pages.select("qid", "page_id").distinct()
+    hits = pages.join(matches.terms.select("qid", "term"), "qid").join(matches.gains, ["term", "page_id"]).groupBy("qid", "page_id", "chunk_id").agg(F.round(-F.sum("gain"), 6).alias("score"))
+    best = hits.groupBy("qid", "page_id").agg(F.min(F.struct("score", "chunk_id")).alias("b"))
+    out = pages.join(first_chunks(index, pages), "page_id").join(best, ["qid", "page_id"], "left")
     return out.select("qid", "page_id", F.coalesce("b.chunk_id", "first").alias("chunk_id"))
 
 
+def first_chunks(index: Index, pages: DataFrame) -> DataFrame:
+    """``(page_id, first)`` of these pages."""
+    return index.sizes.join(pages.select("page_id").distinct(), "page_id", "left_semi").groupBy("page_id").agg(F.min("chunk_id").alias("first"))
+
+
 def entity_candidates(pages: DataFrame, redirects: DataFrame, keys: DataFrame) -> DataFrame:
     """``(title_key, page_id)``: for each of ``keys(title_key)`` the page it stands for. An own title goes
     before a redirect, a title that is the key without its clarification before others, then
@@ -160,7 +229,7 @@ def entity_intros(index: Index, pages: DataFrame, redirects: DataFrame, queries:
     """
     grams = T.query_grams(queries.select("qid", "query"), longest).select("qid", (-F.col("size")).alias("g"), F.col("gram").alias("title_key"), "start", "size")
     found = entity_candidates(pages, redirects, grams.select("title_key"))
-    first = index.sizes.groupBy("page_id").agg(F.min("chunk_id").alias("chunk_id"))
+    first = first_chunks(index, found).withColumnRenamed("first", "chunk_id")
     options = grams.join(found, "title_key").join(first, "page_id").groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("g", "start", "size", "page_id", "chunk_id"))).alias("o"))
     empty = F.expr("cast(array() as array<struct<g:int,start:int,size:int,page_id:bigint,chunk_id:bigint>>)")
 
@@ -193,12 +262,12 @@ def diverse(ranked: DataFrame, k: int, per_title: int = PER_TITLE) -> DataFrame:
 def hybrid_search(index: Index, queries: DataFrame, k: int = 6, semantic: DataFrame | None = None, pages: DataFrame | None = None, redirects: DataFrame | None = None) -> DataFrame:
     """``(qid, pos, chunk_id, page_id, title, section)``: introductions of the pages named in the query,
     then keyword hits fused with ``semantic(qid, pos, page_id)``, if given; at most two per title."""
-    hits = scored(index, terms_of(queries))
-    keyword = keyword_search(hits, 3 * k)
+    matches = match(index, terms_of(queries))
+    keyword = keyword_search(best_rows(matches, 3 * k), 3 * k)
     if semantic is None:
         ranked = keyword.select("qid", "chunk_id", F.col("pos").cast("double").alias("order"))
     else:
-        best = best_chunks(index, hits, semantic)
+        best = best_chunks(index, matches, semantic)
         near = semantic.join(best, ["qid", "page_id"]).select("qid", "pos", "chunk_id")
         fused = fuse(keyword, near)
         by = Window.partitionBy("qid").orderBy(F.col("score").desc(), "seen")

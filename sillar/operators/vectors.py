@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DATA_ROWS, QUERY_ROWS = 65_536, 4_096
+DATA_ROWS = 65_536
 
 
 def norm(vec: Column) -> Column:
@@ -53,51 +53,61 @@ def live(vectors: DataFrame, pages: DataFrame) -> DataFrame:
     return vectors.join(pages.select("page_id").distinct(), "page_id", "left_semi")
 
 
-def _pairs(k: int):
+def _matrix(column: pa.Array, kind) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(kind)
+
+
+def _nearest_in_blocks(k: int):
+    def answers(batch: pa.RecordBatch, ids: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+        asked = batch.column("id").to_numpy()
+        queries = _matrix(batch.column("unit"), np.float64)
+        best, names = np.zeros((len(asked), 0)), np.zeros((len(asked), 0), dtype=np.int64)
+        for start in range(0, len(ids), 8192):
+            sims = np.round(queries @ rows[start : start + 8192].astype(np.float64).T / 127.0, 6)
+            best = np.concatenate([best, sims], axis=1)
+            names = np.concatenate([names, np.broadcast_to(ids[start : start + 8192], sims.shape)], axis=1)
+            order = np.lexsort((names, -best), axis=1)[:, :k]
+            best, names = np.take_along_axis(best, order, axis=1), np.take_along_axis(names, order, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, best.shape[1])), pa.array(names.ravel()), pa.array(best.ravel())], names=["qid", "id", "similarity"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        table = pa.Table.from_batches(parts).combine_chunks()
-        task, asks = table.column("task").to_numpy(), table.column("asks").to_numpy(zero_copy_only=False)
-        ids = table.column("id").to_numpy()
-        flat = table.column("vec").combine_chunks()
-        flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
-        matrix = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-        for t in np.unique(task):
-            data, queries = np.flatnonzero((task == t) & ~asks), np.flatnonzero((task == t) & asks)
-            if not len(data) or not len(queries):
-                continue
-            best = np.full((len(queries), 0), 0.0)
-            names = np.full((len(queries), 0), 0, dtype=np.int64)
-            for start in range(0, len(data), 8192):
-                rows = data[start : start + 8192]
-                sims = np.round(matrix[queries] @ matrix[rows].T / 127.0, 6)
-                best = np.concatenate([best, sims], axis=1)
-                names = np.concatenate([names, np.broadcast_to(ids[rows], sims.shape)], axis=1)
-                order = np.lexsort((names, -best), axis=1)[:, :k]
-                best, names = np.take_along_axis(best, order, axis=1), np.take_along_axis(names, order, axis=1)
-            width = best.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[queries], width)), pa.array(names.ravel()), pa.array(best.ravel())], names=["qid", "id", "similarity"])
+        """Of each block in the partition first the rows come, which are held, then the queries, which pass."""
+        block, held, ids, rows = None, [], np.zeros(0, dtype=np.int64), np.zeros((0, 0), dtype=np.int8)
+        for b in batches:
+            blocks, asks = b.column("block").to_numpy(), b.column("asks").to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero((blocks[1:] != blocks[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for start, stop in zip([0, *edges], [*edges, b.num_rows]):
+                if start == stop:
+                    continue
+                part = b.slice(start, stop - start)
+                if blocks[start] != block:
+                    block, held, ids = int(blocks[start]), [], ids[:0]
+                if not asks[start]:
+                    held.append((part.column("id").to_numpy(), _matrix(part.column("vec"), np.int8)))
+                    continue
+                if held:
+                    ids, rows = (np.concatenate(x) for x in zip(*held))
+                    held = []
+                if len(ids):
+                    for at in range(0, part.num_rows, 1024):
+                        yield answers(part.slice(at, 1024), ids, rows)
 
     return run
 
 
-def exact_top_k(queries: DataFrame, data: DataFrame, k: int, data_rows: int = DATA_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+def exact_top_k(queries: DataFrame, data: DataFrame, k: int, data_rows: int = DATA_ROWS, rows: int | None = None) -> DataFrame:
     """``(qid, pos, id, similarity)``: for ``queries(qid, vec)`` (unit length, not quantized) the ``k`` rows of
     ``data(id, vec)`` (quantized) with the greatest dot product over 127.
 
-    A stated query set against all rows, in blocks: a block of rows and a block of queries
-    meet in one task, which keeps the ``k`` best; the lists are merged per query. Equal
-    similarities go to the smaller id. Null vectors take no part.
+    A stated query set against all rows, in blocks of about ``data_rows``: a block is held by one task as int8 and the
+    queries pass it by; the lists are merged per query. ``rows`` is the number of rows, counted if it is not given.
+    Equal similarities go to the smaller id. Null vectors take no part.
     """
     data, queries = data.filter("vec is not null and id is not null"), queries.filter("vec is not null and qid is not null")
-    n, m = data.count(), queries.count()
-    a, b = max(1, -(-n // data_rows)), max(1, -(-m // query_rows))
-    left = data.select(F.col("id").cast("long"), F.transform("vec", lambda x: x.cast("double")).alias("vec"), F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("j"), F.pmod(F.xxhash64("id"), F.lit(a)).alias("i"))
-    right = queries.select(F.col("qid").cast("long").alias("id"), F.transform("vec", lambda x: x.cast("double")).alias("vec"), F.lit(True).alias("asks"), F.pmod(F.xxhash64("qid"), F.lit(b)).cast("int").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(a - 1).cast("long"))).alias("i"))
-    both = left.unionByName(right).select((F.col("i") * b + F.col("j")).cast("int").alias("task"), "asks", "id", "vec")
-    found = both.repartitionById(a * b, F.col("task")).mapInArrow(_pairs(k), "qid long, id long, similarity double")
+    blocks = max(1, -(-(data.count() if rows is None else rows) // data_rows))
+    left = data.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asks"), F.col("id").cast("long"), F.col("vec").cast("array<tinyint>").alias("vec"), F.lit(None).cast("array<double>").alias("unit"))
+    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"), F.col("qid").cast("long").alias("id"), F.lit(None).cast("array<tinyint>").alias("vec"), F.transform("vec", lambda x: x.cast("double")).alias("unit"))
+    found = left.unionByName(right).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "asks").mapInArrow(_nearest_in_blocks(k), "qid long, id long, similarity double")
     by = Window.partitionBy("qid").orderBy(F.col("similarity").desc(), "id")
     return found.withColumn("pos", F.row_number().over(by)).filter(F.col("pos") <= k).select("qid", "pos", "id", "similarity")
 
@@ -143,3 +153,12 @@ def hash_embedder(dims: int = 64) -> Callable[[list[str]], np.ndarray]:
         return out
 
     return run
+
+
+def letter_embedder(dims: int = 64) -> Callable[[list[str]], np.ndarray]:
+    """An embedder that SQL can follow: how often characters occur, by code point modulo ``dims``."""
+
+    def run(texts: list[str]) -> np.ndarray:
+        return np.stack([np.bincount(np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) % dims, minlength=dims) for t in texts]).astype(np.float64)
+
+    return run

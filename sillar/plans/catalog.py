@@ -16,6 +16,7 @@ from sillar.functions import text as T
 from sillar.functions.roles import ASSISTANT, said_by
 from sillar.operators import chats as C
 from sillar.operators import chunking, corpus, evaluate, feed, images, search, vectors
+from sillar.operators.search_index import kept_index
 from sillar.operators.snapshot_delta import hash_value, page_deltas, tidy_title
 from sillar.plans import sqltext as S
 from sillar.session import shared_folder
@@ -315,18 +316,31 @@ scored AS (SELECT qid, h.chunk_id, any_value(s.page_id) AS page_id, round(-sum(i
   FROM hits h JOIN df USING (term) JOIN sizes s USING (chunk_id) JOIN terms USING (term) CROSS JOIN whole GROUP BY qid, h.chunk_id)"""
 
 
+def _index(spark: SparkSession, folder: str) -> search.Index:
+    """The kept index of the chunks, made by whichever query comes first."""
+    return kept_index(table(spark, folder, "chunks"), shared_folder(spark))
+
+
 def _search(spark: SparkSession, folder: str):
-    chunks = table(spark, folder, "chunks")
-    index = search.build_index(chunks)
-    wanted = search_queries(chunks)
-    return index, wanted, search.scored(index, search.terms_of(wanted))
+    wanted = search_queries(table(spark, folder, "chunks"))
+    index = _index(spark, folder)
+    return index, wanted, search.match(index, search.terms_of(wanted))
+
+
+@query(f"""WITH {_BM25} SELECT (SELECT count(*) FROM sizes) AS rows, (SELECT sum(dl) FROM sizes)::BIGINT AS tokens, count(DISTINCT word) AS words, count(*) AS postings, sum(w) AS weight
+FROM (SELECT word, chunk_id, sum(w) AS w FROM tok WHERE length(word) > 4 OR (length(word) > 1 AND NOT list_contains({S._STOP}, word)) GROUP BY word, chunk_id)""")
+def search_index(spark: SparkSession, folder: str) -> DataFrame:
+    """What the index holds."""
+    index = _index(spark, folder)
+    held = index.postings.filter(F.col("word") != search.WHOLE).agg(F.count_distinct("word").alias("words"), F.count(F.lit(1)).alias("postings"), F.sum("f").alias("weight"))
+    return index.sizes.agg(F.count(F.lit(1)).alias("rows"), F.sum("dl").alias("tokens")).crossJoin(held)  # one row each
 
 
 @query(f"""WITH {_BM25} SELECT qid, pos, chunk_id, score FROM (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score, chunk_id) AS pos FROM scored) WHERE pos <= 10""")
 def bm25_top10(spark: SparkSession, folder: str) -> DataFrame:
-    _, _, hits = _search(spark, folder)
+    _, _, found = _search(spark, folder)
     by = Window.partitionBy("qid").orderBy("score", "chunk_id")
-    return hits.withColumn("pos", F.row_number().over(by)).filter("pos <= 10").select("qid", "pos", "chunk_id", "score")
+    return search.best_rows(found, 10).withColumn("pos", F.row_number().over(by)).filter("pos <= 10").select("qid", "pos", "chunk_id", "score")
 
 
 _TIERED = f"""{_BM25}, tiered AS (SELECT *, (matched < n_terms)::INTEGER AS tier FROM scored),
@@ -336,14 +350,14 @@ kw AS (SELECT qid, pos, chunk_id, score, n_terms = 1 OR fully >= 18 AS strict FR
 
 @query(f"WITH {_TIERED} SELECT qid, pos, chunk_id, score, strict FROM kw")
 def keyword_tiered(spark: SparkSession, folder: str) -> DataFrame:
-    _, _, hits = _search(spark, folder)
-    return search.keyword_search(hits, 18).select("qid", "pos", "chunk_id", "score", "strict")
+    _, _, found = _search(spark, folder)
+    return search.keyword_search(search.best_rows(found, 18), 18).select("qid", "pos", "chunk_id", "score", "strict")
 
 
 @query(f"WITH {_BM25} SELECT qid, pos, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, chunk_id) AS pos FROM scored WHERE matched = n_terms) WHERE pos <= 10")
 def bm25_strict_and(spark: SparkSession, folder: str) -> DataFrame:
-    _, _, hits = _search(spark, folder)
-    return search.keyword_search(hits, 10, strict_only=True).select("qid", "pos", "chunk_id", "score")
+    _, _, found = _search(spark, folder)
+    return search.keyword_search(search.best_rows(found, 10), 10, strict_only=True).select("qid", "pos", "chunk_id", "score")
 
 
 def _semantic(spark: SparkSession, folder: str, k: int = 12) -> DataFrame:
@@ -376,9 +390,9 @@ best AS (SELECT qid, near.page_id, coalesce(arg_min(s.chunk_id, (s.score, s.chun
 
 @query(f"WITH {_BEST} SELECT qid, page_id, chunk_id FROM best")
 def best_chunk_per_page(spark: SparkSession, folder: str) -> DataFrame:
-    index, wanted, hits = _search(spark, folder)
+    index, wanted, found = _search(spark, folder)
     near = _semantic(spark, folder).join(wanted, "qid", "left_semi")
-    return search.best_chunks(index, hits, near)
+    return search.best_chunks(index, found, near)
 
 
 _FUSED = f"""{_BEST},
@@ -391,10 +405,10 @@ fused AS (SELECT qid, chunk_id, round(sum(r), 9) AS score, min(seen) AS seen FRO
 
 @query(f"WITH {_FUSED} SELECT qid, chunk_id, score FROM fused")
 def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
-    index, wanted, hits = _search(spark, folder)
+    index, wanted, found = _search(spark, folder)
     near = _semantic(spark, folder).join(wanted, "qid", "left_semi")
-    best = search.best_chunks(index, hits, near)
-    return search.fuse(search.keyword_search(hits, 18), near.join(best, ["qid", "page_id"])).select("qid", "chunk_id", "score")
+    best = search.best_chunks(index, found, near)
+    return search.fuse(search.keyword_search(search.best_rows(found, 18), 18), near.join(best, ["qid", "page_id"])).select("qid", "chunk_id", "score")
 
 
 @query(f"""WITH {_FUSED},
@@ -405,16 +419,7 @@ def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
     chunks = table(spark, folder, "chunks")
     wanted = search_queries(chunks)
     near = _semantic(spark, folder).join(wanted, "qid", "left_semi")
-    return search.hybrid_search(search.build_index(chunks), wanted, 6, near)
-
-
-@query(None)
-def hybrid_search_with_intros(spark: SparkSession, folder: str) -> DataFrame:
-    chunks = table(spark, folder, "chunks")
-    wanted = search_queries(chunks).select("qid", F.concat(F.lit("Historia de "), "query").alias("query"))
-    near = _semantic(spark, folder).join(wanted, "qid", "left_semi")
-    redirects = table(spark, folder, "redirects").withColumnRenamed("target_title", "target")
-    return search.hybrid_search(search.build_index(chunks), wanted, 6, near, current_pages(table(spark, folder, "pages")), redirects)
+    return search.hybrid_search(_index(spark, folder), wanted, 6, near)
 
 
 @query(f"""WITH {CURRENT_PAGES}, cur AS (SELECT *, {S.title_key('title')} AS title_key FROM current),
@@ -429,11 +434,48 @@ def entity_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return search.entity_candidates(pages, redirects, keys)
 
 
-@query(None)
+def _intros(asked: str) -> str:
+    """SQL of the introductions for ``asked(qid, query)``: options in order, the first, and the first that does not clash with it."""
+    word = "regexp_extract_all(coalesce(query, ''), '[\\p{L}\\p{N}_]+')"
+    return f"""{CURRENT_PAGES}, cur AS (SELECT *, {S.title_key('title')} AS title_key FROM current), {asked},
+itok AS (SELECT qid, unnest({word}) AS w, generate_subscripts({word}, 1) AS i FROM asked),
+ikept AS (SELECT qid, i, {S.fold('w')} AS term, i > 1 AND regexp_matches(w, '^\\p{{Lu}}') AS capital FROM itok WHERE length({S.fold('w')}) > 1 AND NOT list_contains({S._STOP}, {S.fold('w')})),
+iuniq AS (SELECT * FROM ikept QUALIFY row_number() OVER (PARTITION BY qid, term ORDER BY i) = 1),
+ilist AS (SELECT qid, list(term ORDER BY i) AS t, list(capital ORDER BY i) AS c FROM iuniq GROUP BY qid),
+isize AS (SELECT *, unnest(range(1, 5)) AS size FROM ilist), ipos AS (SELECT *, unnest(range(0, greatest(0, len(t) - size + 1))) AS start FROM isize),
+gram AS (SELECT qid, array_to_string(t[start + 1:start + size], ' ') AS title_key, start, size FROM ipos WHERE size = len(t) OR c[start + 1]),
+iopt AS (SELECT title_key, 0 AS kind, page_id, title, size FROM cur WHERE title_key IN (SELECT title_key FROM gram)
+  UNION ALL SELECT r.title_key, 1, c.page_id, c.title, c.size FROM redirects r JOIN cur c ON c.title = r.target_title WHERE r.title_key IN (SELECT title_key FROM gram)),
+icand AS (SELECT title_key, page_id FROM iopt QUALIFY row_number() OVER (PARTITION BY title_key ORDER BY kind, {S.base_key('title')} <> title_key, -coalesce(size, 0), page_id) = 1),
+ifirst AS (SELECT page_id, min(chunk_id) AS chunk_id FROM chunks GROUP BY page_id),
+iall AS (SELECT qid, start, gram.size, page_id, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY -gram.size, start) AS n FROM gram JOIN icand USING (title_key) JOIN ifirst USING (page_id)),
+itwo AS (SELECT b.qid, min(b.n) AS n FROM iall a JOIN iall b ON a.qid = b.qid AND a.n = 1 AND b.n > 1 AND a.page_id <> b.page_id AND NOT (a.start < b.start + b.size AND b.start < a.start + a.size) GROUP BY b.qid),
+intros AS (SELECT qid, CASE n WHEN 1 THEN 1 ELSE 2 END::INTEGER AS pos, page_id, chunk_id FROM iall WHERE n = 1 OR (qid, n) IN (SELECT (qid, n) FROM itwo))"""
+
+
+@query("WITH " + _intros("asked AS (SELECT chat_id AS qid, min(title) AS query FROM chats WHERE chat_id IS NOT NULL AND title IS NOT NULL GROUP BY chat_id)") + " SELECT qid, pos, page_id, chunk_id FROM intros")
 def entity_intros(spark: SparkSession, folder: str) -> DataFrame:
     asked = table(spark, folder, "chats").filter("chat_id is not null and title is not null").groupBy(F.col("chat_id").alias("qid")).agg(F.min("title").alias("query"))
     redirects = table(spark, folder, "redirects").withColumnRenamed("target_title", "target")
-    return search.entity_intros(search.build_index(table(spark, folder, "chunks")), current_pages(table(spark, folder, "pages")), redirects, asked)
+    return search.entity_intros(_index(spark, folder), current_pages(table(spark, folder, "pages")), redirects, asked)
+
+
+# The same search for queries with a word before the title, their introductions first.
+_HISTORIES = "queries AS (SELECT page_id AS qid, 'Historia de ' || min(title) AS query FROM chunks WHERE page_id % 100 = 0 AND title IS NOT NULL GROUP BY page_id)"
+
+
+@query("WITH " + _intros(_HISTORIES + ", asked AS (SELECT * FROM queries)") + f""", {_FUSED.replace(SEARCH_QUERIES + ",", "")},
+placed_ AS (SELECT qid, chunk_id, pos - 1000.0::DOUBLE AS place FROM intros
+  UNION ALL SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, seen)::DOUBLE FROM fused WHERE (qid, chunk_id) NOT IN (SELECT (qid, chunk_id) FROM intros)),
+ranked AS (SELECT b.qid, b.chunk_id, c.page_id, c.title, c.section, row_number() OVER (PARTITION BY b.qid ORDER BY place) AS pos FROM placed_ b JOIN corpus c USING (chunk_id)),
+few AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY qid, title ORDER BY pos) <= 2)
+SELECT qid, new AS pos, chunk_id, page_id, title, section FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pos) AS new FROM few) WHERE new <= 6""")
+def hybrid_search_with_intros(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = table(spark, folder, "chunks")
+    wanted = search_queries(chunks).select("qid", F.concat(F.lit("Historia de "), "query").alias("query"))
+    near = _semantic(spark, folder).join(wanted, "qid", "left_semi")
+    redirects = table(spark, folder, "redirects").withColumnRenamed("target_title", "target")
+    return search.hybrid_search(_index(spark, folder), wanted, 6, near, current_pages(table(spark, folder, "pages")), redirects)
 
 
 # ------------------------------------------------------------------ vectors
@@ -459,7 +501,12 @@ def embedding_topk(spark: SparkSession, folder: str) -> DataFrame:
 @query(None)
 def embedded_pages(spark: SparkSession, folder: str) -> DataFrame:
     waiting = embedding_queue(spark, folder)
-    return vectors.embed(waiting, vectors.hash_embedder(), 64)
+    return vectors.embed(waiting, vectors.letter_embedder(), 64)
+
+
+SQL["embedded_pages"] = SQL["embedding_queue"].replace("SELECT c.page_id, c.size, ", ", queue AS (SELECT c.page_id, ") + """),
+n AS (SELECT page_id, list_transform(range(64), lambda i: len(list_filter(string_split(input, ''), lambda c: unicode(c) % 64 = i))::DOUBLE) AS v FROM queue)
+SELECT page_id, list_transform(v, lambda x: round_even(x / sqrt(list_dot_product(v, v)) * 127, 0)::TINYINT) AS vec FROM n"""
 
 
 # ------------------------------------------------------------------ change feed

@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from sillar.operators import chats, corpus, feed, search
+from sillar.operators import chats, corpus, feed, search, search_index
 from sillar.operators.snapshot_delta import page_deltas
 
 
@@ -50,3 +50,18 @@ def test_search_has_no_nested_loop_over_rows(spark, tmp_path):
     assert "CartesianProduct" not in text
     # the only nested loops join a single row of statistics
     assert text.count("BroadcastNestedLoopJoin") <= 2
+
+
+def test_search_reads_the_buckets_of_its_words(spark, tmp_path):
+    chunks = saved(spark, tmp_path / "k", [(i, 1, f"Lago{i}", "s", "agua") for i in range(50)], "chunk_id long, page_id long, title string, section string, text string")
+    search_index.write_index(chunks, str(tmp_path / "index"), 16)
+    index = search_index.read_index(chunks, str(tmp_path / "index"))
+    assert len(list((tmp_path / "index" / "00000000-whole-16" / "postings").glob("b=*"))) > 4
+    seen = []
+    original = search.cut
+    search.cut = lambda df: seen.append(plan(df)) or original(df)
+    try:
+        search.match(index, search.terms_of(spark.createDataFrame([(1, "lago7")], "qid long, query string")))
+    finally:
+        search.cut = original
+    assert "PartitionFilters: [isnotnull(b" in seen[1] and "BroadcastHashJoin" in seen[1]

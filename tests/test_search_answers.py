@@ -1,10 +1,12 @@
 import json
+import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sillar.operators import chats, evaluate, images, search, vectors
+from sillar.operators import chats, evaluate, images, search, search_index, vectors
 from sillar.sources.questions import question_set
 
 CHUNKS = "chunk_id long, page_id long, title string, section string, text string"
@@ -59,9 +61,9 @@ def test_tiers(spark, index):
 
 def test_best_chunk_falls_back_to_first(spark, index):
     wanted = ask(spark, "historia", "nada")
-    hits = search.scored(index, search.terms_of(wanted))
+    found = search.match(index, search.terms_of(wanted))
     pages = spark.createDataFrame([(0, 1), (1, 1), (0, 99)], "qid long, page_id long")
-    assert {(r.qid, r.chunk_id) for r in search.best_chunks(index, hits, pages).collect()} == {(0, 2), (1, 1)}
+    assert {(r.qid, r.chunk_id) for r in search.best_chunks(index, found, pages).collect()} == {(0, 2), (1, 1)}
 
 
 def test_intros(spark, index):
@@ -88,12 +90,54 @@ def test_hybrid_without_vectors(spark, index):
     assert [(r.chunk_id, r.title) for r in rows] == [(8, "Lago de Atitlán"), (2, "Lago de Atitlán")]  # of three hits in one title
 
 
-def test_written_index(spark, tmp_path):
+def test_kept_index(spark, tmp_path):
+    """Written, updated and compacted, an index is the one built anew."""
+    folder = str(tmp_path / "index")
     corpus = spark.createDataFrame(ROWS, CHUNKS)
-    search.write_index(corpus, str(tmp_path / "index"))
-    read = search.read_index(corpus, str(tmp_path / "index"))
-    terms = search.terms_of(ask(spark, "lago atitlan"))
-    assert sorted(map(tuple, search.scored(read, terms).collect())) == sorted(map(tuple, search.scored(search.build_index(corpus), terms).collect()))
+    terms = search.terms_of(ask(spark, "lago atitlan", "volcanes", "leonardo", "isla"))
+    found = lambda index: sorted(map(tuple, search.scored(index, terms).collect()))
+    with pytest.raises(FileNotFoundError):
+        search_index.read_index(corpus, folder)
+    search_index.write_index(corpus, folder, 4)
+    assert found(search_index.read_index(corpus, folder)) == found(search.build_index(corpus))
+    changed = [(20, 1, "Lago de Atitlán", "Introducción", "El lago tiene una isla."), (21, 9, "Isla", None, "Leonardo vivió en la isla.")]
+    search_index.update_index(spark, folder, spark.createDataFrame(changed, CHUNKS), spark.createDataFrame([(1,), (5,), (9,), (None,)], "page_id long"))
+    after = spark.createDataFrame([r for r in ROWS if r[1] not in (1, 5)] + changed, CHUNKS)
+    want = found(search.build_index(after))
+    assert found(search_index.read_index(after, folder)) == want and {r[1] for r in want} >= {20, 21} and not {r[1] for r in want} & {1, 2, 6, 8}
+    (tmp_path / "index" / "00000007-whole-4" / "postings").mkdir(parents=True)  # broken off
+    search_index.compact(after, folder)
+    assert found(search_index.read_index(after, folder)) == want
+    search_index.sweep(spark, folder)
+    assert [p.name for p in (tmp_path / "index").iterdir()] == ["00000008-whole-4"] and found(search_index.read_index(after, folder)) == want
+    empty = corpus.filter("false")
+    search_index.write_index(empty, str(tmp_path / "none"))
+    assert found(search_index.read_index(empty, str(tmp_path / "none"))) == []
+
+
+def test_kept_index_follows_its_files(spark, tmp_path):
+    place = str(tmp_path / "chunks.parquet")
+    spark.createDataFrame(ROWS[:3], CHUNKS).write.parquet(place)
+    size = lambda: search_index.kept_index(spark.read.parquet(place), str(tmp_path / "kept")).sizes.count()
+    assert size() == 3 and size() == 3 and len(list((tmp_path / "kept").iterdir())) == 1
+    spark.createDataFrame(ROWS[3:5], CHUNKS).write.mode("append").parquet(place)
+    assert size() == 5
+
+
+def test_leading_terms_lose_no_best_row(spark):
+    rng = random.Random(4)
+    words = ["comun", "frecuente", "otro", "raro", *(f"palabra{i}" for i in range(30))]
+    weights = [60, 40, 20, 2, *[1] * 30]
+    rows = [(i, i % 40, " ".join(rng.choices(words, weights, k=2)), None, " ".join(rng.choices(words, weights, k=rng.randint(1, 30)))) for i in range(500)]
+    index = search.build_index(spark.createDataFrame(rows, CHUNKS))
+    asked = ask(spark, *(" ".join(rng.choices(words, [10, 8, 5, 5, *[1] * 30], k=rng.randint(1, 4))) for _ in range(60)))
+    found = search.match(index, search.terms_of(asked))
+    every = search.best_rows(found, None)
+    few = search.best_rows(found, 5)
+    top = lambda rows: sorted(map(tuple, search.keyword_search(rows, 5).collect()))
+    by = Window.partitionBy("qid").orderBy("score", "chunk_id")
+    best = lambda rows: sorted(map(tuple, rows.withColumn("p", F.row_number().over(by)).filter("p <= 5").select("qid", "p", "chunk_id", "score").collect()))
+    assert top(few) == top(every) and best(few) == best(every) and few.count() < 0.8 * every.count()
 
 
 def test_vectors(spark):
@@ -105,7 +149,7 @@ def test_vectors(spark):
     got = {r.id: r.vec for r in quantized.collect()}
     assert got[900] is None and got[901] is None and all(got[i] == np.rint(u[i] * 127).astype(int).tolist() for i in range(300))
     asks = df.filter("id < 20").select(F.col("id").alias("qid"), vectors.normalised(F.col("v"), 6).alias("vec"))
-    top = vectors.exact_top_k(asks, quantized, 5, data_rows=70, query_rows=6).collect()
+    top = vectors.exact_top_k(asks, quantized, 5, data_rows=70).collect()
     sims = np.round(u[:20] @ np.rint(u * 127).T / 127, 6)
     for q in range(20):
         want = sorted(range(300), key=lambda i: (-sims[q, i], i))[:5]
