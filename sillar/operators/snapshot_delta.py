@@ -12,7 +12,9 @@ Plan
    the value, never the value itself.
 2. The compact rows are bucketed by key digest. Each bucket sorts its digests in
    numpy per snapshot and takes set differences with ``searchsorted``.
-3. Only the digests that differ are joined back to the table for the full key.
+3. Only the digests that differ go back to the table for the full key: the second and last time it is read. While
+   they are few (``FEW_KEYS``) they are sent to all executors and no other title is shuffled; beyond that titles
+   and digests meet by a shuffle.
 
 The number of buckets follows the row count (``rows_per_bucket``), so a bucket
 holds about 30 bytes times that many rows, whatever the size of the table.
@@ -27,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sillar.session import shuffle_width
+from sillar.session import cut, shuffle_width
 
 DELTA_SCHEMA = "gen int, key binary, delta string"
 ADDED, REMOVED, CHANGED = "added", "removed", "changed"
+#: Up to so many differing keys, of 16 bytes, are sent to all executors.
+FEW_KEYS = 1_000_000
 
 
 def tidy_title(title: Column) -> Column:
@@ -82,7 +86,7 @@ def _bucket_task(order: list[int]):
             for start in range(0, len(found), 1 << 16):
                 some = found[start : start + (1 << 16)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(some), gen, dtype=np.int32)), pa.array([x.ljust(16, b"\0") for x in some.tolist()], pa.binary()), pa.array([delta] * len(some))],
+                    [pa.array(np.full(len(some), gen, dtype=np.int32)), _binary(some), pa.array([delta] * len(some))],
                     names=["gen", "key", "delta"],
                 )
 
@@ -94,6 +98,10 @@ def _digests(column: pa.Array) -> np.ndarray:
     return np.frombuffer(column.cast(pa.binary(16)).buffers()[1], dtype="S16", count=len(column) + column.offset)[column.offset :]
 
 
+def _binary(digests: np.ndarray) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(digests), [None, pa.py_buffer(np.ascontiguousarray(digests).tobytes())]).cast(pa.binary())
+
+
 def snapshot_delta(
     rows: DataFrame,
     key: Column,
@@ -102,6 +110,7 @@ def snapshot_delta(
     version: str = "snapshot_ts",
     key_name: str = "title",
     rows_per_bucket: int = 2_000_000,
+    few_keys: int = FEW_KEYS,
 ) -> DataFrame:
     """``(gen, <key_name>, delta)`` for every snapshot but the first.
 
@@ -125,11 +134,16 @@ def snapshot_delta(
         .agg(F.max(F.struct(F.coalesce("v", F.lit(-(2**63))).alias("v"), F.col("value").isNotNull().alias("known"), F.coalesce("value", F.lit(0)).alias("value"))).alias("top"))
         .select("gen", "key", F.when(F.col("top.known"), F.col("top.value")).alias("value"))
     )
-    counts = slim.groupBy("gen").count().collect()
+    newest = cut(newest)  # compact rows; the list of snapshots comes from them, not from the table again
+    counts = newest.groupBy("gen").count().collect()
     order = sorted(r["gen"] for r in counts)
     buckets = max(shuffle_width(spark), -(-sum(r["count"] for r in counts) // rows_per_bucket))
-    deltas = newest.repartition(buckets, "key").mapInArrow(_bucket_task(order), DELTA_SCHEMA)
-    names = slim.select("gen", "__name").withColumn("key", F.unhex(F.md5(F.col("__name").cast("binary")))).groupBy("key").agg(F.first("__name").alias(key_name))
+    deltas = cut(newest.repartition(buckets, "key").mapInArrow(_bucket_task(order), DELTA_SCHEMA))
+    wanted = deltas.select("key").distinct()
+    if deltas.count() <= few_keys:
+        wanted = F.broadcast(wanted)
+    names = slim.select(F.unhex(F.md5(F.col("__name").cast("binary"))).alias("key"), F.col("__name").alias(key_name))
+    names = names.join(wanted, "key", "left_semi").distinct()
     return deltas.join(names, "key").select("gen", key_name, "delta")
 
 

@@ -3,7 +3,9 @@ import random
 
 import pytest
 
-from sillar.operators.snapshot_delta import page_deltas
+from pyspark.sql import functions as F
+
+from sillar.operators.snapshot_delta import hash_value, page_deltas, snapshot_delta, tidy_title
 
 SCHEMA = "page_id long, title string, revid long, snapshot_ts timestamp, size int, hash string, gen int, title_key string, delta string, key string"
 T = dt.datetime(2025, 1, 1)
@@ -66,3 +68,6 @@ def test_against_brute_force(spark):
             elif a and b and a[5] and b[5] and a[5] != b[5]:
                 want.append((gen, t, "changed"))
     assert deltas(spark, rows) == sorted(want)
+    df = spark.createDataFrame(rows, SCHEMA)
+    by_shuffle = snapshot_delta(df, tidy_title(F.col("title")), hash_value(F.col("hash")), few_keys=0)
+    assert sorted(map(tuple, by_shuffle.select("gen", "title", "delta").collect())) == sorted(want)
