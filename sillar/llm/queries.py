@@ -89,10 +89,10 @@ def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
 def p1_check(spark: SparkSession, folder: str) -> DataFrame:
     """Of every text that is split: its length, and whether its pieces are short, start in order, cover it and give it back."""
     chunks = table(spark, folder, "chunks")
-    pieces = splitting.split_oversized(chunks)
+    pieces = splitting.split_oversized(chunks).withColumn("repeated", F.lag("end").over(Window.partitionBy("chunk_id").orderBy("piece")) - F.col("start"))
     own = F.substring(F.col("text"), F.col("own_start") - F.col("start") + 1, F.length("text"))
     facts = pieces.groupBy("chunk_id").agg(
-        (F.max(F.length("text")) <= splitting.LIMIT).alias("short"), (F.max(F.col("own_start") - F.col("start")) <= splitting.OVERLAP).alias("little_overlap"), (F.max("piece") == F.count(F.lit(1)) - 1).alias("numbered"), (F.count_if(F.col("end") - F.col("start") != F.length("text")) == 0).alias("placed"),
+        (F.max(F.length("text")) <= splitting.LIMIT).alias("short"), (F.coalesce(F.max("repeated"), F.lit(0)) <= splitting.OVERLAP).alias("little_overlap"), (F.max("piece") == F.count(F.lit(1)) - 1).alias("numbered"), (F.count_if(F.col("end") - F.col("start") != F.length("text")) == 0).alias("placed"),
         F.max("end").alias("last"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece", own.alias("own")))), lambda x: x["own"]), "").alias("whole"),
     )
     return facts.select("chunk_id", "short", "little_overlap", "numbered", "placed", F.length(F.regexp_replace("whole", r"(?U)\s+", "")).alias("letters"), F.md5(F.regexp_replace("whole", r"(?U)\s+", "").cast("binary")).alias("digest"))
