@@ -196,14 +196,24 @@ FURTHER_WORDS = {
     "lv": "un ir ka no ar uz bija bet tas kā par pilsēta arī",
     "la": "et est non ad cum ut sed qui quae quod ex ab aut enim atque sunt esse eius erat urbs",
 }
-_BY_WORD: dict[str, list[str]] = {}
-for _lang, _words in FUNCTION_WORDS.items():
-    for _w in set(_words.split()):
-        _BY_WORD.setdefault(_w, []).append(_lang)
-_FURTHER: dict[str, list[str]] = {}
-for _lang, _words in FURTHER_WORDS.items():
-    for _w in set(_words.split()):
-        _FURTHER.setdefault(_w, []).append(_lang)
+
+
+def _weights() -> dict[str, list[tuple[str, float]]]:
+    """What a word says for each language. A word of several counts little for each; what a further language shares
+    weighs less there, but no less in the others."""
+    first, further = {}, {}
+    for lists, words in ((first, FUNCTION_WORDS), (further, FURTHER_WORDS)):
+        for lang, text in words.items():
+            for word in set(text.split()):
+                lists.setdefault(word, []).append(lang)
+    out = {}
+    for word in first.keys() | further.keys():
+        a, b = first.get(word, []), further.get(word, [])
+        out[word] = [(lang, len(a) ** -1.5) for lang in a] + [(lang, (len(a) + 1 + 0.25 * (len(b) - 1)) ** -1.5) for lang in b]
+    return out
+
+
+_WEIGHTS = _weights()
 # Letters that occur in one of the languages only, or nearly so.
 LETTERS = {"es": "ñ¿¡", "pt": "ãõ", "fr": "êœëîû", "de": "ßä", "ca": "ŀ"}
 
@@ -228,18 +238,15 @@ def script(text: str) -> str | None:
 
 
 def language_scores(text: str) -> dict[str, float]:
-    """Per language, the weight of its function words; a word of several languages
-    counts little for each. What a further language shares weighs less there, but no
-    less in the others."""
+    """Per language, the weight of its function words and letters."""
     scores = dict.fromkeys([*FUNCTION_WORDS, *FURTHER_WORDS], 0.0)
     low = text.lower()
-    for word, n in Counter(_LETTERS_ONLY.findall(low)).items():
-        for lang in (langs := _BY_WORD.get(word, ())):
-            scores[lang] += n / len(langs) ** 1.5
-        for lang in (more := _FURTHER.get(word, ())):
-            scores[lang] += n / (len(langs) + 1 + 0.25 * (len(more) - 1)) ** 1.5
-    for lang, letters in LETTERS.items():
-        scores[lang] += 0.15 * min(3, sum(low.count(c) for c in letters))
+    for word in _LETTERS_ONLY.findall(low):
+        for lang, weight in _WEIGHTS.get(word, ()):
+            scores[lang] += weight
+    if not low.isascii():
+        for lang, letters in LETTERS.items():
+            scores[lang] += 0.15 * min(3, sum(low.count(c) for c in letters))
     return scores
 
 
@@ -256,8 +263,14 @@ def language(text: str) -> str | None:
 def _best(scores: dict[str, float]) -> str | None:
     """The language with the greatest score by a margin. Languages of the second list are
     near to each other (Danish, Norwegian), so the margin is to those of the first."""
-    (best, top), (_, second) = sorted(((x, scores[x]) for x in FUNCTION_WORDS), key=lambda x: (-x[1], x[0]))[:2]
-    far, most = max(((x, scores[x]) for x in FURTHER_WORDS), key=lambda x: x[1])
+    best, top, second = None, -1.0, -1.0
+    for lang in FUNCTION_WORDS:
+        if scores[lang] > top:
+            best, top, second = lang, scores[lang], top
+        elif scores[lang] > second:
+            second = scores[lang]
+    far = max(FURTHER_WORDS, key=scores.__getitem__)
+    most = scores[far]
     if most >= 1.0 and most >= 1.25 * top + 0.1:
         return far
     return None if top < 0.6 or top < 1.25 * second + 0.1 else best
@@ -334,7 +347,7 @@ CORES = [
     r"jag (kan|vet|har|far|vill|avstar|hittar) (\w+ ){0,5}(inte|ingen|inga|fran)", r"(det|ingen) (kan jag inte|information|uppgift)", r"(jeg|eg) (kan|ved|vet|har|ma|vil|finder|finner) (\w+ ){0,5}(ikke|ingen|intet)", r"(det kan jeg ikke|ingen (information|informasjon|oplysninger|opplysninger))",
     r"(kan|vet|har|vill|far|ved|vil|kann|weiss|weiß|habe|darf|mochte|weet|heb|mag) (jag|jeg|eg|ich|ik) (\w+ ){0,6}(inte|ikke|ingen|inga|nicht|keine|niet|geen)",
     r"nie (moge|mozemy|wiem|mam|mamy|znam|potrafie|chce|zamierzam|jestem w stanie|odpowiem|znalaz)", r"(odmawiam|wole nie|brak (informacji|danych|odpowiedzi))", r"(nemohu|nemuzu|nevim|nemam|nechci|nelze|neznam|odmitam|zadne informace)", r"(ne mogu|ne znam|nemam|nazalost)", r"nu (pot|putem|stiu|am|avem|dispun|gasesc|doresc|cunosc|vreau)", r"(prefer sa nu|refuz sa|nicio informatie)",
-    r"\w*( \w+){0,5} (bilmiyorum|veremem|veremiyorum|yan[iı]tlayamam|yan[iı]tlayam[iı]yorum|bulamad[iı]m|yoktur?|cevaplayamam)$", r"ezin (dut|dizut|da)", r"ez (dakit|daukat|dut|dago)", r"en (voi|tieda|osaa|halua|loytanyt|pysty)", r"nem (tudok|tudom|talal\w+|all modomban|kivanok|valaszol\w*)", r"(saya )?tidak (bisa|dapat|tahu|memiliki|menemukan|ada informasi)", r"(я |мы )?не (могу|можем|знаю|имею|располагаю|наш\w+|буду|хочу|в состоянии)", r"(у меня )?нет (информации|данных|сведении|ответа)", r"(отказываюсь|затрудняюсь)",
+    r"ezin (dut|dizut|da)", r"ez (dakit|daukat|dut|dago)", r"en (voi|tieda|osaa|halua|loytanyt|pysty)", r"nem (tudok|tudom|talal\w+|all modomban|kivanok|valaszol\w*)", r"(saya )?tidak (bisa|dapat|tahu|memiliki|menemukan|ada informasi)", r"(я |мы )?не (могу|можем|знаю|имею|располагаю|наш\w+|буду|хочу|в состоянии)", r"(у меня )?нет (информации|данных|сведении|ответа)", r"(отказываюсь|затрудняюсь)",
 ]
 CLOSINGS = [
     r"(prueba|intenta|pruebe|intente|trata|trate|te (sugiero|recomiendo|aconsejo|invito)|le (sugiero|recomiendo)|quizas?|tal vez|puedes|puede|podrias|podria|consulta|consulte|busca|reformula|si (quieres|lo deseas|necesitas|te parece))\b.*", r"(puedo|podria|quieres|quiere|deseas|necesitas|hay (algo|otra)|en que|te) .*", r"(asi que|por lo que|por eso|de modo que|por tanto|por lo tanto) .*", r"(gracias|saludos|disculp|lo siento|perdon).*",
@@ -347,6 +360,8 @@ _CLOSING = re.compile(r"(?:" + "|".join(CLOSINGS) + r")$", re.S)
 _HAVE = re.compile(r"(tengo|tenemos|dispongo|disponemos|cuento|contamos|poseo) (?!que )")
 _KNOW = re.compile(r"\bs[éÉ]\b", re.I)
 _SENTENCE = re.compile(r"[.!?…]+(?:\s+|$)|\n+|[¡¿]")
+# Last words of refusals in languages where the verb stands at the end.
+LAST_WORDS = ("bilmiyorum", "veremem", "veremiyorum", "yanıtlayamam", "yanıtlayamıyorum", "bulamadım", "cevaplayamam", "cevaplayamıyorum")
 # Cores that speak of the world unless the rest of the sentence speaks of
 # the question, the texts or the speaker.
 IMPERSONAL = re.compile(r"(?:no|ni) (hay|existe|existen|aparece|aparecen|consta|constan|figura|figuran|se menciona|se encuentra|se encontro|se indica|se dice|se especifica|se sabe) |sin (informacion|datos|referencias|noticias|detalles|elementos|resultados)|ningun[oa]? |nada (?!puedo|podemos|tengo )")
@@ -379,7 +394,7 @@ def declines(text: str) -> bool:
             m = None  # the verb without "no"
         if m and IMPERSONAL.match(rest) and not ABOUT_TEXTS.search(rest):
             m = None
-        if m:
+        if m or rest.endswith(LAST_WORDS):
             found = True
         elif not (found and _CLOSING.match(rest)):
             return False
