@@ -19,6 +19,7 @@ from sillar.operators.ordered import running_sum
 TITLE_CHARS, RENAME_CHARS = 60, 120
 UNTITLED = "Sin título"
 SHORT_QUESTION = 6
+SOURCES, IMAGES = "array<struct<title:string,section:string>>", "array<struct<id:bigint,title:string,caption:string>>"
 
 
 def unique_messages(messages: DataFrame) -> DataFrame:
@@ -81,6 +82,45 @@ def chats_by_recency(chats: DataFrame) -> DataFrame:
     return rows.orderBy(F.col("updated_at").desc_nulls_last(), "chat_id")
 
 
+def create_chat(chats: DataFrame, chat_id: str, now: Column, title: str | None = None) -> DataFrame:
+    """The table with a new chat; one that exists is left as it is."""
+    new = chats.sparkSession.createDataFrame([(chat_id, title)], "chat_id string, title string").select("chat_id", "title", now.alias("created_at"), now.alias("updated_at"))
+    return chats.unionByName(new.join(chats.select("chat_id"), "chat_id", "left_anti"), allowMissingColumns=True)
+
+
+def get_chat(chats: DataFrame, messages: DataFrame, chat_id: str) -> tuple[DataFrame, DataFrame]:
+    """The newest row of a chat, and its messages in order with sources and images read."""
+    row = chats.filter(F.col("chat_id") == chat_id).orderBy(F.col("updated_at").desc_nulls_last()).limit(1)
+    said = messages.filter(F.col("chat_id") == chat_id).distinct().orderBy("message_id")
+    return row, said.withColumn("sources", F.from_json("sources", SOURCES)).withColumn("images", F.from_json("images", IMAGES))
+
+
+def add_messages(chats: DataFrame, messages: DataFrame, incoming: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """``(chats, messages)`` with ``incoming(chat_id, ord, role, content, sources, images, search_query)`` said: numbered after the
+    others by chat and ``ord``, sources and images as JSON. Chats are touched, unknown ones created, and one without a
+    title takes it from its first user message."""
+    top = messages.agg(F.coalesce(F.max("message_id"), F.lit(0)).alias("t")).first()["t"]
+    rows = running_sum(incoming.filter("chat_id is not null").withColumn("__all", F.lit(0)), "__all", ["chat_id", "ord"], name="__n")
+    said = rows.select((F.col("__n") + 1 + top).alias("message_id"), "chat_id", "role", "content", F.to_json("sources").alias("sources"), F.to_json("images").alias("images"), "search_query", now.alias("created_at"))
+    touched = said.select("chat_id").distinct()
+    names = derived_titles(messages.join(touched, "chat_id", "left_semi").select("message_id", "chat_id", "role", "content").unionByName(said.select("message_id", "chat_id", "role", "content")))
+    same = chats.join(touched.withColumn("__touched", F.lit(True)), "chat_id", "left").join(names.withColumnRenamed("title", "__name"), "chat_id", "left")
+    untitled = F.col("__touched") & F.coalesce(F.trim("title"), F.lit("")).isin("", UNTITLED)
+    same = same.withColumn("title", F.when(untitled, F.coalesce("__name", "title")).otherwise(F.col("title"))).withColumn("updated_at", F.when(F.col("__touched"), now).otherwise(F.col("updated_at"))).select(*chats.columns)
+    new = touched.join(chats.select("chat_id"), "chat_id", "left_anti").join(names, "chat_id", "left").select("chat_id", "title", now.alias("created_at"), now.alias("updated_at"))
+    return same.unionByName(new, allowMissingColumns=True), messages.unionByName(said, allowMissingColumns=True)
+
+
+def set_summaries(chats: DataFrame, made: DataFrame) -> DataFrame:
+    """The table with ``made(chat_id, summary, upto)`` written to its chats."""
+    rows = chats.join(made.select("chat_id", F.col("summary").alias("__s"), F.col("upto").alias("__u")), "chat_id", "left")
+    return rows.withColumn("summary", F.coalesce("__s", "summary")).withColumn("summary_upto", F.coalesce("__u", "summary_upto")).select(*chats.columns)
+
+
+def rename_chat(chats: DataFrame, chat_id: str, title: str) -> DataFrame:
+    return chats.withColumn("title", F.when(F.col("chat_id") == chat_id, renamed(F.lit(title))).otherwise(F.col("title")))
+
+
 def delete_chat(chats: DataFrame, messages: DataFrame, chat_id: str) -> tuple[DataFrame, DataFrame]:
     keep = ~F.col("chat_id").eqNullSafe(chat_id)
     return chats.filter(keep), messages.filter(keep)

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sillar.functions import text as T
+from sillar.operators.chunking import chunk_documents
+from sillar.operators.ordered import running_sum
 
 # What a merge did with a title.
 NEW, CHANGED, SAME, NEWER, DELETED = "nuevo", "cambiado", "igual", "local más reciente", "borrado"
@@ -91,6 +93,26 @@ def upsert_pages(pages: DataFrame, incoming: DataFrame, now: Column) -> DataFram
     return upsert(pages.select(*rows.columns), rows, "title")
 
 
+def upsert_articles(pages: DataFrame, chunks: DataFrame, images: DataFrame, incoming: DataFrame, now: Column) -> dict[str, DataFrame]:
+    """``pages``, ``chunks`` and ``images`` after ``incoming(title, revid, text, snapshot_ts, gen, page_id, images)`` replaced what
+    stood under its titles. The texts are cut into chunks anew. ``images array<struct<src, caption>>``: null keeps the old
+    images, which go over to the new page; a list, even an empty one, replaces them.
+    """
+    ids = lambda table, column: table.agg(F.coalesce(F.max(column), F.lit(0)).alias("top")).first()["top"]
+    old = pages.join(incoming.select("title", F.col("page_id").alias("new_id"), F.col("images").isNull().alias("keeps")), "title").select("page_id", "new_id", "keeps")
+    gone = old.select("page_id").distinct()
+    fresh = chunk_documents(incoming.select("page_id", "text"), "page_id", "text").join(incoming.select("page_id", "title"), "page_id")
+    fresh = running_sum(fresh.withColumn("__all", F.lit(0)), "__all", ["page_id", "ord"], name="__n").withColumn("chunk_id", F.col("__n") + 1 + ids(chunks, "chunk_id"))
+    moved = images.join(old.filter("keeps").select("page_id", "new_id"), "page_id").withColumn("page_id", F.col("new_id")).select(*images.columns)
+    shown = incoming.select("page_id", F.posexplode("images").alias("ord", "i")).select("page_id", "ord", F.col("i.src").alias("src"), F.col("i.caption").alias("caption"))
+    shown = running_sum(shown.withColumn("__all", F.lit(0)), "__all", ["page_id", "ord"], name="__n").withColumn("image_id", F.col("__n") + 1 + ids(images, "image_id")).select("image_id", "page_id", "src", "caption")
+    return {
+        "pages": upsert_pages(pages, incoming.drop("images"), now),
+        "chunks": delete_keys(chunks, gone, "page_id").unionByName(fresh.select("chunk_id", "page_id", "ord", "title", "section", "text"), allowMissingColumns=True),
+        "images": delete_keys(images, gone, "page_id").unionByName(moved).unionByName(shown, allowMissingColumns=True),
+    }
+
+
 def set_images(images: DataFrame, incoming: DataFrame, touched: DataFrame) -> DataFrame:
     """The images of ``touched(page_id)`` replaced by ``incoming``; a page without new images only loses
     those of the archive (``zim:`` sources)."""

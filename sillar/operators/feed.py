@@ -6,9 +6,14 @@ title in order of arrival (``seq``) counts.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sillar.functions import text as T
+from sillar.session import Kept
+
 # Fixed values, in seconds: overlap after a feed, after a full check; how long a feed is kept; how often a
 # subset is checked in full; and the rows of one page of a keyset scan.
 FEED_OVERLAP, CHECK_OVERLAP = 120, 3600
@@ -109,3 +114,42 @@ def try_run(step) -> bool:
     except Exception:
         logging.getLogger("sillar.feed").exception("update failed")
         return False
+
+
+def catch_up_in_steps(pages: DataFrame, lookup: Callable[[list[str]], dict[str, tuple[int, str] | None]], apply: Callable[[DataFrame], None], place: str, started: float, rows: int = CHECK_ROWS, stop: Callable[[], bool] = lambda: False) -> float | None:
+    """The full comparison as a walk over all titles in order, ``rows`` at a time, that goes on where it ended.
+
+    ``lookup`` gives revision and time per title, None for articles that are gone; titles it does not name are left
+    alone. ``apply`` gets each step's ``(title, action)``. After it the last title is kept in ``place`` (``after``); an
+    interrupted step is done again, so ``apply`` must bear that. Gives the feed's new cursor when all titles have been
+    compared, None if ``stop`` ended the walk before.
+    """
+    spark = pages.sparkSession
+    state = Kept(spark, place)
+    state.setdefault("started", str(started))
+    while not stop():
+        step = keyset_page(pages, state.get("after", ""), rows).collect()  # no more than ``rows``
+        if not step:
+            begun = float(state.get("started"))
+            state.clear()
+            return cursor_after_check(begun)
+        found = lookup([r["title"] for r in step])
+        latest = [(title, None if seen is None else int(seen[0]), None if seen is None else seen[1], seen is None) for title, seen in found.items()]
+        theirs = spark.createDataFrame(latest, "title string, revid long, iso string, gone boolean").select("title", "revid", T.parse_iso(F.col("iso")).alias("ts"), "gone")
+        apply(catch_up(spark.createDataFrame(step, pages.schema), theirs))
+        state.set("after", step[-1]["title"])
+    return None
+
+
+def apply_in_batches(events: DataFrame, apply: Callable[[DataFrame], None], place: str, started: float, batch: int = 50) -> float:
+    """Events in order of arrival, ``batch`` at a time, each followed by a note of the last one applied, so that an
+    interrupted run repeats one batch at most. Gives the new cursor."""
+    state = Kept(events.sparkSession, place)
+    while True:
+        done = int(state.get("seq", str(-(2**63))))
+        some = events.filter(F.col("seq") > done).orderBy("seq").limit(batch)
+        top = some.agg(F.max("seq").alias("s")).first()["s"]
+        if top is None:
+            return cursor_after_feed(started)
+        apply(events.filter((F.col("seq") > done) & (F.col("seq") <= top)))
+        state.set("seq", str(top))

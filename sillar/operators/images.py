@@ -5,10 +5,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sillar.functions import text as T
+from sillar.operators.vectors import embed
 
 # A page's first image, each place of the page among the sources, each word of the question in the
 # caption, and how far below the best an image may score.
@@ -62,3 +66,18 @@ def images_for_pages(images: DataFrame, sources: DataFrame, shown: DataFrame | N
 def caption_input(images: DataFrame) -> DataFrame:
     """``(image_id, input)``: what is embedded of an image that has no vector yet."""
     return images.select("image_id", T.embedding_text(F.col("title"), F.col("caption"), None).alias("input"))
+
+
+def caption_vectors(images: DataFrame, cached: DataFrame, embedder: Callable[[list[str]], np.ndarray], dims: int) -> DataFrame:
+    """``(image_id, vec)`` to be added to ``cached(image_id, vec)``: the captions of images that have no vector yet."""
+    missing = caption_input(images.join(cached.select("image_id").distinct(), "image_id", "left_anti").dropDuplicates(["image_id"]))
+    return embed(missing.withColumnRenamed("image_id", "page_id"), embedder, dims).withColumnRenamed("page_id", "image_id")
+
+
+def similarities(vectors: DataFrame, queries: DataFrame, images: DataFrame, sources: DataFrame) -> DataFrame:
+    """``(qid, image_id, similarity)`` for ``vectors(image_id, vec)`` (quantized) and ``queries(qid, vec)`` (unit length): of each
+    query with the images of its source pages only."""
+    shown = sources.select("qid", "page_id").distinct().join(images.select("page_id", "image_id"), "page_id").select("qid", "image_id").distinct()
+    rows = shown.join(vectors, "image_id").join(queries.select("qid", F.col("vec").alias("q")), "qid")
+    dot = F.aggregate(F.zip_with("vec", "q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    return rows.select("qid", "image_id", F.round(dot / 127.0, 6).alias("similarity"))

@@ -25,6 +25,7 @@ Plan
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -278,3 +279,16 @@ def hybrid_search(index: Index, queries: DataFrame, k: int = 6, semantic: DataFr
     numbered = ranked.withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy("order"))).drop("order")
     rows = numbered.join(index.corpus.select("chunk_id", "page_id", "title", "section"), "chunk_id")
     return diverse(rows, k).select("qid", "pos", "chunk_id", "page_id", "title", "section")
+
+
+def retrieve(index: Index, queries: DataFrame, top_k: int, vectors: DataFrame | None = None, embedder: Callable | None = None, dims: int = 384, pages: DataFrame | None = None, redirects: DataFrame | None = None) -> DataFrame:
+    """``hybrid_search`` from texts: the queries are embedded and the ``2 * top_k`` pages of ``vectors(page_id, vec)`` (quantized)
+    nearest to each are fused in; by keywords alone without vectors or embedder, or where the embedder fails."""
+    from sillar.operators.vectors import embed_queries, exact_top_k
+
+    semantic = None
+    if vectors is not None and embedder is not None:
+        asked = embed_queries(queries, embedder, dims)
+        near = exact_top_k(asked, vectors.filter(F.size("vec") == dims).select(F.col("page_id").alias("id"), "vec"), 2 * top_k)
+        semantic = cut(near.select("qid", "pos", F.col("id").alias("page_id")))
+    return hybrid_search(index, queries, top_k, semantic, pages, redirects)

@@ -6,9 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sillar.session import children, default_parallelism, exists
+
 DATA_ROWS = 65_536
 
 
@@ -112,15 +114,53 @@ def exact_top_k(queries: DataFrame, data: DataFrame, k: int, data_rows: int = DA
     return found.withColumn("pos", F.row_number().over(by)).filter(F.col("pos") <= k).select("qid", "pos", "id", "similarity")
 
 
-def embedding_queue(pages: DataFrame, vectors: DataFrame, chunks: DataFrame, most: int | None = None) -> DataFrame:
-    """``(page_id, size, input)``: pages without a vector, longest first, with what is to be embedded: the
-    title and the page's first chunk. ``most`` bounds one round of work."""
+def embedding_queue(pages: DataFrame, vectors: DataFrame, chunks: DataFrame, most: int | None = None, after: tuple[int, int] | None = None) -> DataFrame:
+    """``(page_id, size, input)``: pages without a vector with what is to be embedded: the title and the page's first
+    chunk. A null size counts as 0. With ``most`` the first so many of one round of work, longest first, then by id;
+    with ``after`` those that follow a ``(size, page_id)`` in this order."""
     first = chunks.filter("page_id is not null").groupBy("page_id").agg(F.min(F.struct("chunk_id", "text")).alias("c")).select("page_id", F.col("c.text").alias("text"))
     from sillar.functions.text import embedding_text
 
-    waiting = pages.join(vectors.select("page_id").distinct(), "page_id", "left_anti").join(first, "page_id", "left")
-    waiting = waiting.select("page_id", "size", embedding_text(F.coalesce("title", F.lit("")), F.col("text")).alias("input"))
-    return waiting.orderBy(F.col("size").desc_nulls_last(), "page_id").limit(most) if most is not None else waiting
+    waiting = pages.join(vectors.select("page_id").distinct(), "page_id", "left_anti")
+    length = F.coalesce("size", F.lit(0))
+    if after is not None:
+        waiting = waiting.filter((length < after[0]) | ((length == after[0]) & (F.col("page_id") > after[1])))
+    if most is not None:  # before the texts are joined
+        waiting = waiting.orderBy(length.desc(), "page_id").limit(most)
+    waiting = waiting.join(first, "page_id", "left").select("page_id", "size", embedding_text(F.coalesce("title", F.lit("")), F.col("text")).alias("input"))
+    return waiting if most is None else waiting.orderBy(F.coalesce("size", F.lit(0)).desc(), "page_id")
+
+
+def stored_vectors(spark: SparkSession, store: str) -> DataFrame:
+    """``(vec_id, page_id, vec)`` of all rounds that were completed."""
+    done = [f"{store}/{n}" for n in children(spark, store) if n.startswith("round=") and exists(spark, f"{store}/{n}/_SUCCESS")]
+    reader = spark.read.schema("vec_id long, page_id long, vec array<tinyint>")
+    return reader.parquet(*done) if done else spark.createDataFrame([], "vec_id long, page_id long, vec array<tinyint>")
+
+
+def embed_pending(pages: DataFrame, chunks: DataFrame, store: str, embedder: Callable[[list[str]], np.ndarray], dims: int, round_rows: int = 2000, batch: int = 32, most: int | None = None, stop: Callable[[], bool] = lambda: False) -> int:
+    """Embeds the pages without a vector, longest first, in rounds of ``round_rows`` that are each written to ``store``.
+
+    What is stored is not embedded again, so the work goes on where it ended, whatever ended it. ``most`` bounds the
+    pages of one call, ``stop`` is asked between rounds. Gives the number of pages embedded.
+    """
+    spark = pages.sparkSession
+    made = 0
+    while not stop() and (most is None or made < most):
+        have = stored_vectors(spark, store)
+        size = round_rows if most is None else min(round_rows, most - made)
+        todo = embedding_queue(pages, have, chunks, size)
+        number = 1 + max((int(n.split("=")[1]) for n in children(spark, store) if n.startswith("round=")), default=0)
+        base = have.agg(F.coalesce(F.max("vec_id"), F.lit(0)).alias("v")).first()["v"]
+        order = Window.orderBy(F.col("page_id"))  # the rows of one round only
+        spread = todo.repartition(default_parallelism(spark))
+        rows = embed(spread, embedder, dims, batch).withColumn("vec_id", F.row_number().over(order) + F.lit(base)).select(F.col("vec_id").cast("long"), "page_id", "vec")
+        rows.write.parquet(f"{store}/round={number:06d}")
+        count = spark.read.parquet(f"{store}/round={number:06d}").count()
+        if not count:
+            break
+        made += count
+    return made
 
 
 def embed(rows: DataFrame, embedder: Callable[[list[str]], np.ndarray], dims: int, batch: int = 32) -> DataFrame:
@@ -138,6 +178,23 @@ def embed(rows: DataFrame, embedder: Callable[[list[str]], np.ndarray], dims: in
     return rows.select("page_id", "input").mapInArrow(run, "page_id long, vec array<tinyint>")
 
 
+def embed_queries(queries: DataFrame, embedder: Callable[[list[str]], np.ndarray], dims: int, batch: int = 32) -> DataFrame:
+    """``(qid, vec)`` of unit length, not quantized. A batch that the embedder fails on gives no vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start in range(0, b.num_rows, batch):
+                some = b.slice(start, batch)
+                try:
+                    found = np.asarray(embedder(some.column("query").to_pylist()), dtype=np.float64)[:, :dims]
+                except Exception:
+                    continue
+                found /= np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-12)
+                yield pa.RecordBatch.from_arrays([some.column("qid"), pa.array(list(found), pa.list_(pa.float64()))], names=["qid", "vec"])
+
+    return queries.select(F.col("qid").cast("long").alias("qid"), F.coalesce("query", F.lit("")).alias("query")).mapInArrow(run, "qid long, vec array<double>")
+
+
 def hash_embedder(dims: int = 64) -> Callable[[list[str]], np.ndarray]:
     """A deterministic embedder for tests: keywords hashed to signed axes."""
     import hashlib

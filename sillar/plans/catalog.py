@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,13 +16,13 @@ from pyspark.sql import functions as F
 from sillar.functions import text as T
 from sillar.functions.roles import ASSISTANT, said_by
 from sillar.operators import chats as C
-from sillar.operators import chunking, corpus, evaluate, feed, images, search, vectors
+from sillar.operators import answers, chunking, corpus, evaluate, feed, images, search, vectors
 from sillar.operators.search_index import kept_index
 from sillar.operators.snapshot_delta import hash_value, page_deltas, tidy_title
 from sillar.plans import sqltext as S
-from sillar.session import shared_folder
+from sillar.session import children, cut, delete, shared_folder
 from sillar.sources import wiki
-from sillar.sources.archive import articles
+from sillar.sources.archive import JsonArchive, articles
 from sillar.sources.html import html_to_text
 from sillar.sources.tables import stream_of, table
 
@@ -179,6 +180,14 @@ def embedding_queue(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.embedding_queue(current_pages(table(spark, folder, "pages")), table(spark, folder, "page_vectors"), table(spark, folder, "chunks"))
 
 
+@query(SQL["embedding_queue"].replace("SELECT c.page_id, c.size, ", "SELECT c.page_id, c.size, row_number() OVER (ORDER BY coalesce(c.size, 0) DESC, c.page_id) AS place, ") + " AND (coalesce(c.size, 0) < 5000 OR coalesce(c.size, 0) = 5000 AND c.page_id > 100) ORDER BY place LIMIT 500")
+def embedding_next(spark: SparkSession, folder: str) -> DataFrame:
+    """A round of embedding: the 500 longest pages without a vector after the one of size 5000 and number 100."""
+    rows = vectors.embedding_queue(current_pages(table(spark, folder, "pages")), table(spark, folder, "page_vectors"), table(spark, folder, "chunks"), 500, (5000, 100))
+    order = Window.orderBy(F.coalesce("size", F.lit(0)).desc(), "page_id")  # no more than 500 rows
+    return rows.withColumn("place", F.row_number().over(order))
+
+
 @query(f"""WITH {CURRENT_PAGES}
 SELECT (SELECT count(*) FROM current) AS pages, (SELECT coalesce(max(chunk_id), 0) FROM chunks) AS chunks_approx, (SELECT count(*) FROM page_vectors) AS embedded_pages,
        (SELECT coalesce(max(i.id), 0) FROM (SELECT unnest(from_json(images, '[{{"id":"BIGINT"}}]')) AS i FROM messages WHERE json_valid(images))) AS images, (SELECT count(*) FROM redirects) AS redirects,
@@ -298,6 +307,21 @@ def html_rich(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "text", first["src"].alias("src"), first["caption"].alias("caption"), F.size("images").alias("images"))
 
 
+@query(_LINES + " SELECT 'd' || doc_id AS title, sha256(text) AS hash FROM t WHERE length(text) >= 200")
+def json_archive_articles(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents written as an archive of JSON lines in the shared folder, and read by the data source."""
+    d = table(spark, folder, "documents")
+    entry = F.struct(F.lit("a").alias("path"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("title"), F.lit("text/html").alias("mime"), _as_html(F.col("text"), F.col("title")).alias("html"))
+    place = f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"
+    d.select(F.to_json(entry).alias("value")).write.text(place)
+    spark.dataSource.register(JsonArchive)
+    files = [n for n in children(spark, place) if n.startswith("part-")]  # one per task that wrote
+    parts = [spark.read.format("json_archive").option("range", 500).load(f"{place}/{n}") for n in files]
+    found = cut(articles(reduce(DataFrame.unionByName, parts)).select("title", "hash"))
+    delete(spark, place)
+    return found
+
+
 # ------------------------------------------------------------------ search
 
 _BM25 = f"""{SEARCH_QUERIES},
@@ -549,8 +573,9 @@ def feed_stream(spark: SparkSession, folder: str) -> DataFrame:
     events = raw.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("title"), kind.alias("kind"), F.when(kind == "move", (F.col("user_id") + 1).cast("string")).alias("target"))
     run = follow(events, f"{place}/versions", f"{place}/checkpoint")
     run.awaitTermination()
-    found = newest_events(spark, f"{place}/versions")
-    return found.select("title", "seq", "kind", "target")
+    found = cut(newest_events(spark, f"{place}/versions").select("title", "seq", "kind", "target"))
+    delete(spark, place)
+    return found
 
 
 @query(f"""WITH {LAST_IMPORT},
@@ -613,6 +638,15 @@ def chat_followup_query(spark: SparkSession, folder: str) -> DataFrame:
     return C.followup_queries(table(spark, folder, "messages"))
 
 
+@query(rf"""WITH {_MESSAGES}, s AS (SELECT *, {S.BY_USER} AS mine FROM msg WHERE {S.BY_USER} OR {S.BY_ASSISTANT}),
+l AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY chat_id ORDER BY message_id DESC) = 1), u AS (SELECT *, lag(coalesce(content, '')) OVER (PARTITION BY chat_id ORDER BY message_id) AS before FROM s WHERE mine),
+q AS (SELECT u.chat_id, coalesce(u.content, '') AS content, u.before, trim(regexp_replace(coalesce(u.content, ''), '{_WS}', ' ', 'g')) AS line FROM l JOIN u USING (chat_id, message_id))
+SELECT chat_id, CASE WHEN before IS NOT NULL AND (line = '' OR len(string_split(line, ' ')) < 6) THEN before || ' ' || content ELSE content END AS query FROM q""")
+def chat_open_questions(spark: SparkSession, folder: str) -> DataFrame:
+    """What is to be searched for each chat that waits for an answer."""
+    return answers.search_queries(answers.last_questions(table(spark, folder, "messages"), table(spark, folder, "chats")))
+
+
 @query(rf"""WITH {_MESSAGES}, f AS (SELECT chat_id, trim(regexp_replace(arg_min(content, message_id), '{_WS}', ' ', 'g')) AS line FROM msg WHERE {S.BY_USER} AND content IS NOT NULL GROUP BY chat_id)
 SELECT chat_id, CASE WHEN length(line) <= 60 THEN line ELSE rtrim(substring(line, 1, 59)) || '…' END AS title FROM f""")
 def chat_title(spark: SparkSession, folder: str) -> DataFrame:

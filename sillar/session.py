@@ -82,6 +82,37 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(place, True)
 
 
+class Kept:
+    """A few named texts in a folder, for cursors. A value is written beside the old one and then takes its place."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self._spark, self._folder = spark, folder
+
+    def _values(self) -> dict[str, str]:
+        done = sorted(n for n in children(self._spark, self._folder) if n.startswith("v=") and exists(self._spark, f"{self._folder}/{n}/_SUCCESS"))
+        if not done:
+            return {}
+        return {r["key"]: r["value"] for r in self._spark.read.schema("key string, value string").parquet(f"{self._folder}/{done[-1]}").collect()}
+
+    def get(self, key: str, default: str | None = None) -> str | None:
+        return self._values().get(key, default)
+
+    def set(self, key: str, value: str) -> None:
+        old = [n for n in children(self._spark, self._folder) if n.startswith("v=")]
+        number = 1 + max((int(n[2:]) for n in old), default=0)
+        rows = list((self._values() | {key: value}).items())
+        self._spark.createDataFrame(rows, "key string, value string").coalesce(1).write.parquet(f"{self._folder}/v={number:012d}")
+        for name in old:
+            delete(self._spark, f"{self._folder}/{name}")
+
+    def setdefault(self, key: str, value: str) -> None:
+        if self.get(key) is None:
+            self.set(key, value)
+
+    def clear(self) -> None:
+        delete(self._spark, self._folder)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt out over all cores, if it comes straight from fewer pieces than there are cores; else as it is.
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from sillar.operators.feed import latest_events
+from sillar.session import delete
 
 
 def _version(folder: str, number: int) -> str:
@@ -41,5 +42,7 @@ def follow(events: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
         both = batch.select("ts", "seq", "title", "kind", "target")
         both = both if before is None else both.unionByName(before.select(*both.columns))
         latest_events(both).write.mode("overwrite").parquet(_version(folder, number))
+        if number > 1:  # the version before stays, as a batch may be repeated
+            delete(spark, _version(folder, number - 2))
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
