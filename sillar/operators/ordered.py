@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from sillar.session import cut, shuffle_width
 
-#: Offsets are broadcast while they are fewer than this.
+#: Up to so many offsets (some 50 bytes each) are broadcast.
 FEW = 200_000
 
 
@@ -44,10 +44,11 @@ def _local(group: str, value: str | None):
     return run
 
 
-def running_sum(rows: DataFrame, group: str, order: list[str], value: str | None = None, name: str = "before") -> DataFrame:
+def running_sum(rows: DataFrame, group: str, order: list[str], value: str | None = None, name: str = "before", few: int = FEW) -> DataFrame:
     """``rows`` with ``name``: the sum of ``value`` (or the count) over the rows of the group
     that come before. ``group`` must not be null; ``order`` should be unique in a group,
-    else equal rows come in any order."""
+    else equal rows come in any order. Up to ``few`` offsets, one for each stretch, are sent to all executors; more are
+    joined."""
     keys = [group, *order]
     ordered = rows.repartitionByRange(shuffle_width(rows.sparkSession), *keys).sortWithinPartitions(*keys)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
@@ -56,6 +57,6 @@ def running_sum(rows: DataFrame, group: str, order: list[str], value: str | None
     before = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = local.groupBy(group, "__part").agg(F.sum(weight).alias("__n")).select(group, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
     offsets = cut(offsets)
-    if offsets.count() < FEW:
+    if offsets.count() <= few:
         offsets = F.broadcast(offsets)
     return local.join(offsets, [group, "__part"]).withColumn(name, F.col("__offset") + F.col("__ahead")).drop("__part", "__ahead", "__offset")

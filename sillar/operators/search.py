@@ -51,7 +51,7 @@ def tokens(text: Column) -> Column:
 
 
 BUCKETS = 64
-#: Up to so many distinct terms of a batch (some 100 bytes each) are sent to all executors; more are joined by key.
+#: Up to so many terms of a batch of queries (some 100 bytes each) are sent to all executors; more are joined by key.
 FEW_TERMS = 100_000
 #: Scores are compared after rounding to six decimals.
 ROUNDING = 1e-5
@@ -122,16 +122,22 @@ def terms_of(queries: DataFrame) -> DataFrame:
 @dataclass(frozen=True)
 class Matches:
     """``terms(qid, term, n_terms)`` and ``gains(term, chunk_id, page_id, gain)``: what each distinct term gives to the
-    rows it matches, by statistics of the whole corpus."""
+    rows it matches, by statistics of the whole corpus. ``few``: the terms are so few that they may be sent to all
+    executors."""
 
     terms: DataFrame
     gains: DataFrame
+    few: bool = False
+
+    def sent(self, rows: DataFrame) -> DataFrame:
+        """Rows that are no more than the terms."""
+        return F.broadcast(rows) if self.few else rows
 
 
 def match(index: Index, terms: DataFrame) -> Matches:
     terms = cut(terms)  # named several times, and its source may be large
     wanted = terms.select("term").distinct().select("term", key_of(F.col("term")).alias("key"))
-    facts = wanted.agg(F.count(F.lit(1)).alias("n"), F.collect_set(bucket(F.col("key"), index.buckets)).alias("b")).first()  # no more than there are buckets
+    facts = terms.agg(F.count(F.lit(1)).alias("n"), F.collect_set(bucket(key_of(F.col("term")), index.buckets)).alias("b")).first()  # no more than there are buckets
     few = F.broadcast if facts["n"] <= FEW_TERMS else (lambda x: x)
     found = index.postings.filter(F.col("b").isin(facts["b"]) & (F.col("word") != WHOLE)).join(few(wanted), "key").filter(F.startswith("word", "term") & ((F.length("term") >= PREFIX_FROM) | (F.col("word") == F.col("term"))))
     hits = cut(found.groupBy("term", "chunk_id", "page_id", "dl").agg(F.sum("f").alias("f")))
@@ -141,7 +147,7 @@ def match(index: Index, terms: DataFrame) -> Matches:
     df = df.select("term", F.when(idf <= 0, 1e-6).otherwise(idf).alias("idf"), "avgdl")
     damp = F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     gains = hits.join(few(df), "term").select("term", "chunk_id", "page_id", (F.col("idf") * F.col("f") * (K1 + 1) / damp).alias("gain"))
-    return Matches(terms, gains)
+    return Matches(terms, gains, facts["n"] <= FEW_TERMS)
 
 
 def leading(matches: Matches, limit: int) -> DataFrame:
@@ -150,7 +156,7 @@ def leading(matches: Matches, limit: int) -> DataFrame:
     by = Window.partitionBy("term").orderBy(F.col("gain").desc())
     tops = matches.gains.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= limit)
     tops = tops.groupBy("term").agg(F.max("gain").alias("top"), F.when(F.count(F.lit(1)) >= limit, F.min("gain")).otherwise(0.0).alias("kth"))
-    each = matches.terms.join(tops, "term").groupBy("qid").agg(F.first("n_terms").alias("n_terms"), F.sort_array(F.collect_list(F.struct("top", "term", "kth"))).alias("ts"))
+    each = matches.terms.join(matches.sent(tops), "term").groupBy("qid").agg(F.first("n_terms").alias("n_terms"), F.sort_array(F.collect_list(F.struct("top", "term", "kth"))).alias("ts"))
     each = each.withColumn("least", F.array_max(F.transform("ts", lambda x: x["kth"])) - ROUNDING)
     start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<struct<term:string,leads:boolean>>").alias("out"))
 
@@ -166,12 +172,12 @@ def best_rows(matches: Matches, limit: int | None) -> DataFrame:
     """``(qid, chunk_id, page_id, score, matched, n_terms)``: rows that match any term of a query. With a ``limit`` those
     that are not among the best ``limit``, by score or by terms matched and then score, may be absent."""
     if limit is None:
-        rows = matches.terms.join(matches.gains, "term").select("qid", "chunk_id", "page_id", "n_terms", "gain")
+        rows = matches.sent(matches.terms).join(matches.gains, "term").select("qid", "chunk_id", "page_id", "n_terms", "gain")
     else:
         plan = leading(matches, limit)
-        found = plan.filter("leads").join(matches.gains, "term").filter((F.col("n_terms") > 1) | (F.col("gain") >= F.col("least")))
+        found = matches.sent(plan.filter("leads")).join(matches.gains, "term").filter((F.col("n_terms") > 1) | (F.col("gain") >= F.col("least")))
         found = found.select("qid", "chunk_id", "page_id", "n_terms", "gain")
-        rest = found.select("qid", "chunk_id").distinct().join(plan.filter("not leads").select("qid", "term", "n_terms"), "qid")
+        rest = found.select("qid", "chunk_id").distinct().join(matches.sent(plan.filter("not leads").select("qid", "term", "n_terms")), "qid")
         rows = found.unionByName(rest.join(matches.gains, ["term", "chunk_id"]).select("qid", "chunk_id", "page_id", "n_terms", "gain"))
     per = rows.groupBy("qid", "chunk_id").agg(F.first("page_id").alias("page_id"), (-F.sum("gain")).alias("score"), F.count(F.lit(1)).alias("matched"), F.first("n_terms").alias("n_terms"))
     return per.withColumn("score", F.round("score", 6))

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from sillar.operators.ordered import running_sum
 from sillar.session import spread
 
@@ -21,3 +23,15 @@ def test_spread(spark):
     assert spread(many) is many
     grouped = one.groupBy("id").count()
     assert spread(grouped) is grouped
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_offsets_sent_or_joined(spark, few):
+    rows = [(f"g{i % 3}", i, i % 5) for i in range(200)]
+    got = running_sum(spark.createDataFrame(rows, "g string, i long, v long"), "g", ["i"], "v", few=few).collect()
+    for g in ("g0", "g1", "g2"):
+        total = 0
+        for r in sorted((r for r in got if r.g == g), key=lambda r: r.i):
+            assert r.before == total
+            total += r.v
+    assert len(got) == 200
