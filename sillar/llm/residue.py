@@ -7,11 +7,13 @@ required.
 Phrases of errors, filler and script notices in several languages are found in
 one pass of a multi-pattern automaton over the text without case and accents. A
 sentence counts as such if the phrases cover enough of it, a document if such
-sentences cover enough of the document. Unfilled fields are found by their
-markers; a marker or phrase inside a quotation, or after a word that speaks of
+sentences cover enough of the document. The beginnings of unfilled fields are found
+by a second automaton, over the text as it is written, and their forms are tried
+there; a marker or phrase inside a quotation, or after a word that speaks of
 it ("the variable {name}"), is a mention and does not count.
 
-The operator is one narrow pass: no shuffle, whole texts, each row for itself.
+The operator is one pass over whole texts, each row for itself. Nothing is shuffled, but where
+the table comes in fewer pieces than there are cores its texts are dealt out once.
 """
 
 from __future__ import annotations

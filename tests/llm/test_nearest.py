@@ -85,3 +85,36 @@ def test_empty_and_pairs(spark):
     other[:10] = 3
     got = similar_pairs(frame(spark, [(1, 20, one), (2, 10, other), (3, 30, -one)])).collect()
     assert list(map(tuple, got)) == [(10, 20)]
+
+
+def test_a_class_with_most_of_the_pages(spark):
+    x = clustered(40, 6)
+    rows = [(i, i, v) for i, v in enumerate(x)] + [(1_000 + i, 1_000 + i, x[3]) for i in range(1_100)]
+    got = nearest_pages(frame(spark, rows), 5, dims=DIMS).collect()
+    assert len(got) == 1_140 * 5
+    assert [r.neighbour for r in sorted((r for r in got if r.page_id == 1_700), key=lambda r: r.place)] == [3, 1_000, 1_001, 1_002, 1_003]
+    near = {r.page_id: r.neighbour for r in got if r.place == 1}
+    s, _ = brute(np.delete(x, 3, axis=0), 5)
+    assert near[3] == 1_000 and all(r.similarity > 0.999 for r in got if r.page_id >= 1_000)
+
+
+def test_large_leaves_are_divided_and_few_shards_visited(spark, monkeypatch):
+    from sillar.llm import nearest
+
+    seen = []
+    follow, divide = nearest._follow, nearest._divide
+    monkeypatch.setattr(nearest, "_follow", lambda asks, *rest: seen.append(("visits", (out := follow(asks, *rest)).count())) or out)
+    monkeypatch.setattr(nearest, "_divide", lambda *rest: seen.append(("levels", len((out := divide(*rest))[1]))) or out)
+    x = clustered(3_000, 7, topics=60, noise=0.15)
+    got = nearest_pages(frame(spark, list(zip(range(3_000), range(3_000), x))), 10, dims=DIMS, shard_rows=100, query_rows=400, sample_rows=300, leaf_sample=400).collect()
+    s, top = brute(x, 10)
+    assert len(got) == 30_000 and sum(s[r.page_id, r.neighbour] >= top[r.page_id, 0] - 1e-9 for r in got) >= 0.95 * 30_000
+    assert dict(seen)["levels"] >= 1 and dict(seen)["visits"] <= 12 * 3_000
+
+
+def test_what_no_tree_tells_apart_is_divided_by_hash(spark):
+    rng = np.random.default_rng(8)
+    x = np.clip(np.rint(unit(rng.normal(size=(600, DIMS))) * 127), -127, 127).astype(np.int8)
+    got = nearest_pages(frame(spark, list(zip(range(600), range(600), x))), 10, factor=1.0, dims=DIMS, shard_rows=150, query_rows=200, sample_rows=100, leaf_sample=100).collect()
+    s, top = brute(x, 10)
+    assert len(got) == 6_000 and all(s[r.page_id, r.neighbour] >= top[r.page_id, 0] - 1e-9 for r in got)
