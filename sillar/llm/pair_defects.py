@@ -148,9 +148,12 @@ def only_repeats(question: str | None, answer: str) -> bool:
     a = _WORD.findall(plain(_BRACKETED.sub(" ", answer)))
     if not q or len(a) < 0.8 * len(q):
         return False
-    known = set(q)
-    if sum(w not in known for w in a) > 2:
-        return False
+    known, strange = set(q), 0
+    for word in a:
+        if word not in known:
+            strange += 1
+            if strange > 2:
+                return False
     covered, said = bytearray(len(a)), bytearray(len(q))
     for i, j, k in tiles(q, a, min(2, len(q))):
         covered[j : j + k] = b"\1" * k
@@ -216,6 +219,7 @@ def _weights() -> dict[str, list[tuple[str, float]]]:
 _WEIGHTS = _weights()
 # Letters that occur in one of the languages only, or nearly so.
 LETTERS = {"es": "ñ¿¡", "pt": "ãõ", "fr": "êœëîû", "de": "ßä", "ca": "ŀ"}
+_TELLING_LETTERS = re.compile("[" + "".join(LETTERS.values()) + "]")
 
 
 _LETTERS_ONLY = re.compile(r"[^\W\d_]+")
@@ -244,9 +248,9 @@ def language_scores(text: str) -> dict[str, float]:
     for word in _LETTERS_ONLY.findall(low):
         for lang, weight in _WEIGHTS.get(word, ()):
             scores[lang] += weight
-    if not low.isascii():
+    if telling := _TELLING_LETTERS.findall(low):
         for lang, letters in LETTERS.items():
-            scores[lang] += 0.15 * min(3, sum(low.count(c) for c in letters))
+            scores[lang] += 0.15 * min(3, sum(c in letters for c in telling))
     return scores
 
 
