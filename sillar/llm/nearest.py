@@ -59,6 +59,8 @@ SHARD_ROWS = 16_384
 QUERY_ROWS = 16_384
 LEAF_ROWS = 512
 MIN_GAP = 0.04
+#: Up to so many visitors are compared with all rows of a shard.
+FEW_VISITORS = 128
 SLACK = np.float32(1e-3)
 
 
@@ -537,7 +539,8 @@ def _search(k: int, factor: float):
             if not len(data) or not len(queries):
                 continue
             points = raw[data]
-            tree = VantageTree((points / norms[data, None]).astype(np.float32), LEAF_ROWS)
+            # a tree is not worth its making for a few visitors: one leaf is all rows
+            tree = VantageTree((points / norms[data, None]).astype(np.float32), LEAF_ROWS if len(queries) > FEW_VISITORS else len(data))
             leaf = tree.own_leaf((raw[queries] / norms[queries, None]).astype(np.float32))
             queries = queries[np.argsort(leaf, kind="stable")]  # blocks of like queries prune alike
             order = np.argsort(cls[data], kind="stable")
@@ -617,6 +620,7 @@ def nearest_pages(vectors: DataFrame, k: int = 10, factor: float = FACTOR, dims:
     asks = homed.select("cls", "vec", "reach").mapInArrow(_ask(tree, factor), ASKED).select("cls", "vec", "leaf", "reach", F.explode("visits").alias("at"))
     asks = _follow(asks, levels, min(factor, part_factor), shard_rows)
     asks = asks.join(table.select(F.col("leaf").alias("at"), "parts"), "at").filter((F.col("at") != F.col("leaf")) | (F.col("parts") > 1)).drop("parts")
+    asks = cut(asks)  # the visits to other shards, counted and then made
     asked = {r["at"]: r["count"] for r in asks.groupBy("at").count().collect()}
     layout, tasks, weights = [], 0, []
     for leaf, parts, _ in shards:
