@@ -34,8 +34,10 @@ def p2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_routed(spark: SparkSession, folder: str) -> DataFrame:
-    """The exact search in shards so small that leaves are divided again and rows visit other shards."""
-    found = nearest.nearest_pages(table(spark, folder, "page_vectors"), factor=1.0, shard_rows=60, query_rows=90, sample_rows=200, leaf_sample=100)
+    """The exact search in shards of an eighth of the rows, so that leaves are divided again and rows visit other shards."""
+    vectors = table(spark, folder, "page_vectors")
+    shard = max(60, vectors.count() // 8)
+    found = nearest.nearest_pages(vectors, factor=1.0, shard_rows=shard, query_rows=2 * shard, sample_rows=3 * shard, leaf_sample=2 * shard)
     return found.withColumn("similarity", F.round("similarity", 9))
 
 
