@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sillar.functions.text import bind
 from sillar.session import children, default_parallelism, exists
 
 DATA_ROWS = 65_536
@@ -25,8 +26,8 @@ def head(vec: Column, dims: int) -> Column:
 def normalised(vec: Column, dims: int) -> Column:
     """The first ``dims`` elements at length one; null for zero vectors."""
     cut = head(vec, dims)
-    length = norm(cut)
-    return F.when(length > 0, F.transform(cut, lambda x: x / length))
+    # bound: else the length would be summed up again for each element
+    return bind(norm(cut), lambda length: F.when(length > 0, F.transform(cut, lambda x: x / length)))
 
 
 def quantize(vec: Column, dims: int) -> Column:
@@ -63,14 +64,32 @@ def _nearest_in_blocks(k: int):
     def answers(batch: pa.RecordBatch, ids: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
         asked = batch.column("id").to_numpy()
         queries = _matrix(batch.column("unit"), np.float64)
-        best, names = np.zeros((len(asked), 0)), np.zeros((len(asked), 0), dtype=np.int64)
+        n = len(asked)
+        rough = queries.astype(np.float32)
+        of, best, names = np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=np.int64)
+        floor = np.full(n, -np.inf)  # what the k-th of each list has
         for start in range(0, len(ids), 8192):
-            sims = np.round(queries @ rows[start : start + 8192].astype(np.float64).T / 127.0, 6)
-            best = np.concatenate([best, sims], axis=1)
-            names = np.concatenate([names, np.broadcast_to(ids[start : start + 8192], sims.shape)], axis=1)
-            order = np.lexsort((names, -best), axis=1)[:, :k]
-            best, names = np.take_along_axis(best, order, axis=1), np.take_along_axis(names, order, axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, best.shape[1])), pa.array(names.ravel()), pa.array(best.ravel())], names=["qid", "id", "similarity"])
+            some, some_ids = rows[start : start + 8192], ids[start : start + 8192]
+            near = some.astype(np.float32)
+            sims = rough @ near.T
+            # single precision is off by no more than this, for unit queries; rounding adds its half
+            slack = 127e-6 + 4 * (queries.shape[1] + 2) * 2.0**-24 * float(np.sqrt((near * near).sum(axis=1).max()))
+            least = floor * 127.0
+            if len(some) > k and not np.isfinite(floor).all():
+                least = np.maximum(least, np.partition(sims, len(some) - k, axis=1)[:, len(some) - k])
+            at, col = np.nonzero(~(sims < (least - slack).astype(np.float32)[:, None]))  # a query that is no number has all
+            exact = np.zeros(len(at))
+            for i in range(0, len(at), 65_536):
+                j = slice(i, i + 65_536)
+                exact[j] = np.einsum("ij,ij->i", queries[at[j]], some[col[j]].astype(np.float64))
+            of, best, names = np.concatenate([of, at]), np.concatenate([best, np.round(exact / 127.0, 6)]), np.concatenate([names, some_ids[col]])
+            order = np.lexsort((names, -best, of))
+            of, best, names = of[order], best[order], names[order]
+            kept = np.arange(len(of)) - np.searchsorted(of, of) < k
+            of, best, names = of[kept], best[kept], names[kept]
+            full = np.flatnonzero(np.bincount(of, minlength=n) == k)
+            floor[full] = best[np.searchsorted(of, full, side="right") - 1]
+        return pa.RecordBatch.from_arrays([pa.array(asked[of]), pa.array(names), pa.array(best)], names=["qid", "id", "similarity"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each block in the partition first the rows come, which are held, then the queries, which pass."""
